@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup
 from .common import table_path
 
 
@@ -14,14 +15,73 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_tokens(spark, write_tokens(docs, table_path(spark, "tokens"), _vocabulary()), with_ids=False)
+    return read_tokens(spark, write_tokens(_documents(spark, sf_dir), table_path(spark, "tokens"), _vocabulary()), with_ids=False)
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tool_calls import TURN_SCHEMAS, from_turns, linked
+
+    out = linked(*from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TURN_SCHEMAS)
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import neighbours
+
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_deduplicated(_documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import benchmark_overlaps
+
+    return benchmark_overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir)).drop("text_key")
+
+
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_documents(spark, sf_dir)).select("doc_id", "score", F.col("keep").cast("int").alias("keep"))
+
+
+def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_documents(spark, sf_dir), _vocabulary()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
 
+QUERIES = {f.__name__: f for f in (op1_rans_tokens, op3_tool_calls, op4_posting_lists, op6_line_runs, op7_spaced_seeds, op8_minhash_join, op9_weak_labels, op10_bm25_packing)}
 
-QUERIES = {
-    "op1_rans_tokens": op1_rans_tokens,
+ORACLE_SQL: dict[str, str] = {
+    "op3_tool_calls": """
+with t as (select *, conv_id::varchar || ':' || turn::varchar as id from conversations),
+c as (select conv_id, turn as seq, role as name, id, text, max(turn) filter (where role <> 'assistant') over w as up, row_number() over (partition by conv_id order by turn) - 1 as level
+  from t where role <> 'assistant' window w as (partition by conv_id order by turn range between 2 preceding and 1 preceding)),
+l as (select *, sum(case when up is null then 1 else 0 end) over (partition by conv_id order by seq) as chain from c),
+k as (select * replace (row_number() over (partition by conv_id, chain order by seq) - 1 as level) from l),
+j as (select k.*, r.text as result from k left join t r on r.conv_id = k.conv_id and r.turn = k.seq + 1 and r.role = 'assistant'),
+e as (select *, list_filter([case when result is null then 'missing_result' end, case when length(text) > 4000 then 'range:chars' end, case when length(text) < 1 then 'range:text' end], lambda x: x is not null) as errors from j)
+select id as call_id, conv_id, seq, level, name, len(errors) = 0 as valid, array_to_string(errors, ',') as errors,
+  '{"arguments":{"chars":' || length(text) || ',"text":' || to_json(text) || '},"depends_on":' || (case when up is null then '[]' else '["' || conv_id || ':' || up || '"]' end)
+  || ',"errors":' || to_json(errors) || ',"id":"' || id || '","level":' || level || ',"name":"' || name || '","result":' || coalesce(to_json(result), 'null') || ',"valid":' || (case when len(errors) = 0 then 'true' else 'false' end) || '}' as json
+from e""",
+    "op6_line_runs": line_dedup.SQL.format("documents", 50) + """
+select d.doc_id, case when k.text is not null then k.new when p.text is not null then '' else d.text end as text, coalesce(len(p.places), 0) as lines_removed
+from documents d left join places p on d.doc_id is not distinct from p.doc_id and d.text = p.text left join kept k on d.doc_id is not distinct from k.doc_id and d.text = k.text""",
 }
-ORACLE_SQL: dict[str, str] = {}
