@@ -38,6 +38,14 @@ def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    out = toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 0)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_deduplicated(_documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
 
@@ -66,7 +74,7 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir), _vocabulary()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_tokens, op3_tool_calls, op4_posting_lists, op6_line_runs, op7_spaced_seeds, op8_minhash_join, op9_weak_labels, op10_bm25_packing)}
+QUERIES = {f.__name__: f for f in (op1_rans_tokens, op3_tool_calls, op4_posting_lists, op5_toxic_segments, op6_line_runs, op7_spaced_seeds, op8_minhash_join, op9_weak_labels, op10_bm25_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_tool_calls": """
