@@ -31,7 +31,7 @@ def _byte_chars() -> dict[str, str]:
 class Encoder(dict):
     """piece behind a space -> its ids as little-endian bytes; `limit` bounds the cache."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.limit = limit

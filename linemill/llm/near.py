@@ -215,3 +215,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     lows = info.groupBy("root").agg(F.min("low").alias("class_id"))
     info = info.join(lows, "root").select("node", "n_links", "class_id")
     return signed.drop("bands", "grams").join(info, "node", "left").select("doc_id", "text_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each class: the smallest doc_id's (null first), of equal ones that with the smallest text hash.
+
+    Rows of equal doc_id and text are told apart by nothing: one of them stays. Documents without runs all stay.
+    """
+    found = near_duplicates(docs, **options).filter("n_links > 0").withColumn("at", F.struct("doc_id", "text_key"))
+    least = found.groupBy(F.coalesce("class_id", F.lit(-(1 << 63))).alias("class")).agg(F.min("at").alias("stay"))
+    gone = found.withColumn("class", F.coalesce("class_id", F.lit(-(1 << 63)))).join(least, "class").select("at", (F.col("at") == F.col("stay")).alias("stays")).groupBy("at").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    ids = lambda c: (F.coalesce(c["doc_id"], F.lit(-(1 << 63))), c["text_key"])
+    gone = saved(gone.filter(~F.col("stays") | (F.col("rows") > 1)).select(ids(F.col("at"))[0].alias("_k1"), ids(F.col("at"))[1].alias("_k2"), "stays"), "gone")
+    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k2": F.xxhash64(blank())})
+    kept = keyed.join(gone, ["_k1", "_k2"], "left_anti")
+    repeated = gone.filter("stays")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated.drop("stays"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]))
+    return kept.select(*docs.columns)

@@ -9,7 +9,7 @@ from . import line_dedup
 from .common import table_path
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -22,7 +22,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(spark, write_tokens(_documents(spark, sf_dir), table_path(spark, "tokens"), _vocabulary()), with_ids=False)
+    return read_tokens(spark, write_tokens(_documents(spark, sf_dir), table_path(spark, "tokens"), vocabulary()), with_ids=False)
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,14 @@ def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir)).select("doc_id", "score", F.col("keep").cast("int").alias("keep"))
 
 
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
-    return packed(_documents(spark, sf_dir), _vocabulary()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed_digest(packed(_documents(spark, sf_dir), vocabulary()))
 
 
 QUERIES = {f.__name__: f for f in (op1_rans_tokens, op3_tool_calls, op4_posting_lists, op5_toxic_segments, op6_line_runs, op7_spaced_seeds, op8_minhash_join, op9_weak_labels, op10_bm25_packing)}
