@@ -35,35 +35,40 @@ def labellers(text: Column) -> dict[str, Column]:
     upper = share("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÑÓÔÖÙÛÜ")
     signs, bars, marks, stops = share("#$%&*@^~<>{}[]\\=+"), share("|"), share("!"), share(".?")
     known = F.size(F.array_intersect(F.transform(words, lambda w: F.lower(w)), F.array(*map(F.lit, STOPWORDS))))
+    long = n > 20
+    echo = F.size(F.filter(F.zip_with(words, F.slice(words, 2, n), lambda a, b: a == b), lambda x: x))
     return {
-        "signs": vote(signs > 0.03, signs < 0.005),
-        "bars": vote(bars > 0.01, bars == 0),
-        "capitals": vote(upper > 0.25, (upper < 0.12) & (n > 10)),
-        "marks": vote(marks > 0.01, marks == 0),
-        "stops": vote((stops < 0.002) & (n > 20), (stops > 0.004) & (stops < 0.06)),
-        "stopwords": vote((known < 2) & (n > 20), known >= 3),
-        "word_length": vote((chars / n > 14) | (chars / n < 2.5), (chars / n > 4) & (chars / n < 11)),
-        "repeats": vote((F.size(F.array_distinct(lines)) < 0.6 * F.size(lines)) & (F.size(lines) > 3), (F.size(lines) > 3) & (F.size(F.array_distinct(lines)) > 0.95 * F.size(lines))),
-        "variety": vote((n > 40) & (F.size(F.array_distinct(words)) < 0.25 * n), (n > 40) & (F.size(F.array_distinct(words)) > 0.4 * n)),
-        "shortness": vote(n < 4, F.lit(False)),
+        "signs": vote(signs > 0.02, long & (signs < 0.005)),
+        "bars": vote(bars > 0.01, long & (bars == 0)),
+        "capitals": vote(long & (upper > 0.3), long & (upper < 0.15)),
+        "marks": vote(marks > 0.02, long & (marks == 0)),
+        "sentences": vote(long & (stops < 0.001), long & (stops > 0.004) & (stops < 0.06)),
+        "stopwords": vote(long & (known < 2), known >= 4),
+        "word_length": vote(long & ((chars / n > 16) | (chars / n < 2.5)), long & (chars / n > 4) & (chars / n < 10)),
+        "repeats": vote((F.size(lines) > 3) & (F.size(F.array_distinct(lines)) < 0.6 * F.size(lines)), (F.size(lines) > 3) & (F.size(F.array_distinct(lines)) > 0.95 * F.size(lines))),
+        "echo": vote(long & (echo > 0.05 * n), long & (echo < 0.01 * n)),
+        "variety": vote(long & (F.size(F.array_distinct(words)) < 0.2 * n), long & (F.size(F.array_distinct(words)) > 0.4 * n)),
     }
 
 
+#: Labellers whose vote for bad starts EM, and that are taken to vote so on few good documents (MOST of their votes there).
+DETECTORS = ("signs", "bars", "capitals", "marks", "repeats", "echo", "variety")
+MOST = 0.002
+
+
 class WeakLabels:
-    """Two classes, conditionally independent votes; EM on counts of vote patterns."""
+    """Two classes, conditionally independent votes; EM on counts of vote patterns. Abstentions say nothing."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
-        v, c = patterns.astype(int) + 1, counts.astype(float)
-        m = v.shape[1]
-        good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
-        post = np.clip(0.5 + 0.45 * np.sign(good - 2.5 * bad), 0.05, 0.95)
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200):
+        c = counts.astype(float)
+        post = np.where((patterns[:, start] == 0).any(1), 0.05, 0.97)
         for _ in range(rounds):
-            self.prior = np.clip((post * c).sum() / max(c.sum(), 1e-9), 0.01, 0.99)
-            self.votes = np.empty((2, m, 3))
+            self.prior = float(np.clip((post * c).sum() / max(c.sum(), 1e-9), 0.02, 0.98))
+            self.bad_votes = np.empty((2, patterns.shape[1]))  # share of bad among votes on bad (0) and on good documents (1)
             for y, w in ((1, post * c), (0, (1 - post) * c)):
-                for j in range(m):
-                    n = np.bincount(v[:, j], w, 3) + 0.1
-                    self.votes[y, j] = n / n.sum()
+                bad, good = ((patterns == v) * w[:, None] for v in (0, 1))
+                self.bad_votes[y] = (bad.sum(0) + (0.5 if y == 0 else 0.01)) / (bad.sum(0) + good.sum(0) + 1)
+            self.bad_votes[1, start] = np.minimum(self.bad_votes[1, start], MOST)
             new = self.posterior(patterns)
             done = len(new) == 0 or np.abs(new - post).max() < 1e-6
             post = new
@@ -71,10 +76,10 @@ class WeakLabels:
                 break
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        v, j = patterns.astype(int) + 1, np.arange(patterns.shape[1])
-        a = np.log(self.prior) + np.log(self.votes[1, j, v]).sum(1)
-        b = np.log(1 - self.prior) + np.log(self.votes[0, j, v]).sum(1)
-        return 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
+        """Probability of good."""
+        p = np.clip(self.bad_votes, 1e-4, 1 - 1e-4)
+        bad, good = (np.log(self.prior if y else 1 - self.prior) + np.where(patterns == 0, np.log(p[y]), np.where(patterns == 1, np.log(1 - p[y]), 0)).sum(1) for y in (0, 1))
+        return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
 
 class _Features(dict):
@@ -90,7 +95,7 @@ class _Features(dict):
             if b != last:
                 shape.append(b)
             last = b
-        ids = (xxhash.xxh32_intdigest(word.lower()) % DIMS, xxhash.xxh32_intdigest(bytes(shape), 7) % DIMS)
+        ids = (xxhash.xxh32_intdigest(word.lower()) % (DIMS - 1), xxhash.xxh32_intdigest(bytes(shape), 7) % (DIMS - 1))
         got = self[word] = np.array(ids, "<u4").tobytes()
         return got
 
@@ -99,10 +104,13 @@ _FEATURES = _Features()
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a whole text, scaled to length 1."""
-    ids, n = np.unique(np.frombuffer(b"".join(map(_FEATURES.__getitem__, text.split())), "<u4"), return_counts=True)
+    """Hashed features of a whole text, scaled to length 1, and the share of words equal to the one before."""
+    every = np.frombuffer(b"".join(map(_FEATURES.__getitem__, text.split())), "<u4")
+    ids, n = np.unique(every, return_counts=True)
     x = np.log1p(n)
-    return ids, x / max(np.sqrt((x * x).sum()), 1e-9)
+    x = x / max(np.sqrt((x * x).sum()), 1e-9)
+    words = every[::2]
+    return (np.append(ids, DIMS - 1), np.append(x, np.count_nonzero(words[1:] == words[:-1]) / len(words))) if len(words) else (ids, x)
 
 
 def _sampled(batches):
@@ -156,7 +164,7 @@ def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) ->
     votes = labellers(F.col("text"))
     table = text.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).toPandas()
     patterns = table[list(votes)].to_numpy(int).reshape(-1, len(votes))
-    model = WeakLabels(patterns, table["n"].to_numpy(float))
+    model = WeakLabels(patterns, table["n"].to_numpy(float), np.isin(list(votes), DETECTORS))
     label = dict(zip(map(tuple, patterns), model.posterior(patterns)))
     total = max(int(table["n"].sum()), 1)
     share = min(1.0, 1.5 * sample_rows / total)
