@@ -25,6 +25,13 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(_documents(spark, sf_dir), table_path(spark, "tokens"), vocabulary()), with_ids=False)
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
+    return katz_scores(_documents(spark, sf_dir), fold != 0).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
+
+
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tool_calls import TURN_SCHEMAS, from_turns, linked
 
@@ -78,7 +85,7 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(packed(_documents(spark, sf_dir), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_tokens, op3_tool_calls, op4_posting_lists, op5_toxic_segments, op6_line_runs, op7_spaced_seeds, op8_minhash_join, op9_weak_labels, op10_bm25_packing)}
+QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_katz_backoff, op3_tool_calls, op4_posting_lists, op5_toxic_segments, op6_line_runs, op7_spaced_seeds, op8_minhash_join, op9_weak_labels, op10_bm25_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_tool_calls": """
