@@ -143,7 +143,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from, strength: float = 1
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(learn_from).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
-    counting = base.filter(learn_from).filter(slice_ < 2).join(marks.filter(slice_ < 2), "doc_id").select("text", "toxic")
+    counting = base.filter(learn_from).filter(slice_ < 2).join(marks.filter(slice_ < 2).hint("merge"), "doc_id").select("text", "toxic")
     counts = mapped(counting, _counted, "bucket int, n long, tox long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("tox").alias("tox")).filter((F.col("n") >= least) | (F.col("bucket") >= WORDS)).toPandas()
     n, tox = np.zeros(WORDS + STEMS, np.float32), np.zeros(WORDS + STEMS, np.float32)
     n[counts["bucket"]], tox[counts["bucket"]] = counts["n"], counts["tox"]
@@ -151,7 +151,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from, strength: float = 1
     shared = spark.sparkContext.broadcast((n, tox, rate))
     found = saved(mapped(base, _passages(shared, strength, drift), "doc_id long, n_tokens long, passages array<struct<start:int,end:int,sum:double>>"), "passages")
     largest = F.coalesce(F.array_max(F.transform("passages", lambda p: p["sum"])), F.lit(0.0))
-    third = found.filter(learn_from).filter(slice_ == 2).join(marks.filter(slice_ == 2), "doc_id").select("n_tokens", largest.alias("m"), F.transform("passages", lambda p: p["sum"]).alias("sums"), "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "n_tokens", "m").limit(fit_rows).toPandas()
+    third = found.filter(learn_from).filter(slice_ == 2).join(marks.filter(slice_ == 2).hint("merge"), "doc_id").select("n_tokens", largest.alias("m"), F.transform("passages", lambda p: p["sum"]).alias("sums"), "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "n_tokens", "m").limit(fit_rows).toPandas()
     y = third["toxic"].to_numpy(int)
     if not len(y) or not counts["tox"].sum() or y.min() == y.max():
         return found.select("doc_id", "n_tokens", F.transform("passages", lambda p: F.struct(p["start"], p["end"], p["sum"], F.lit(0.0).alias("value"))).alias("passages"), F.lit(0.0).alias("score"))
