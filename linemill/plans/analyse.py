@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,7 @@ def write_reports(spark: SparkSession, paths: list[str], ending: str = SUFFIX, *
         own = {k: [r.asDict() for r in df.filter(F.col("path") == s["path"]).collect()] for k, df in got.items() if k != "summary"}
         p = spark._jvm.org.apache.hadoop.fs.Path(s["path"])
         size = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).getLen()
-        target = os.path.splitext(s["path"])[0] + ending
+        target = os.path.splitext(re.sub("^file:/+", "/", s["path"]))[0] + ending
         write_text(spark, target, report(s["path"], size, now, s.asDict(), **own))
         out.append(target)
     return out

@@ -15,7 +15,7 @@ from ..functions.sizes import format_size, format_span, parse_size
 from ..operators.clean import Cleaning, clean, counter_columns, counted
 from ..operators.ordering import ORDERS, duplicates, merged
 from ..sources.lines import read_lines
-from ..sources.sinks import write_file, write_parts, write_text
+from ..sources.sinks import delete, write_file, write_parts, write_text
 
 KB, MB, GB, TB = 1024, 1024**2, 1024**3, 1024**4
 #: Resource settings: default, least and most bytes (fixed values). They are checked; Spark sizes its own memory.
@@ -152,24 +152,22 @@ def run_merge(spark: SparkSession, options: MergeOptions) -> dict:
     began = time.time()
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(options.size("large_chunk"), 128 * MB)))
     lines = read_lines(spark, options.inputs, exact=options.exact)
-    seen, out = Observation("merge"), Observation("written")
-    order = options.sort_by.lower()
+    seen, order = Observation("merge"), options.sort_by.lower()
     kept = clean(lines, options.cleaning(), seen).select("line")
-    result = kept if options.leave_duplicates else kept.distinct()
-    result = result.observe(out, F.count(F.lit(1)).alias("lines_written"), F.coalesce(F.sum(F.octet_length("line").cast("long") + 1), F.lit(0)).alias("bytes_written"))
-    # the observed plan runs once into ordered parts; a range exchange that sampled it would count lines twice
+    # the observed plan runs once, into a table; a range exchange that sampled it would count lines twice
     table = f"{options.output}.lines-tmp"
-    result.write.mode("overwrite").parquet(table)
+    (kept if options.leave_duplicates else kept.distinct()).write.mode("overwrite").parquet(table)
     stored = spark.read.parquet(table)
+    out = stored.agg(F.count(F.lit(1)).alias("lines_written"), F.coalesce(F.sum(F.octet_length("line").cast("long") + 1), F.lit(0)).alias("bytes_written")).first().asDict()
+    # a plan that turns out empty is replaced, and its observation with it
+    read = seen.get if out["lines_written"] else counted(lines, options.cleaning()).agg(*counter_columns()).first().asDict()
     wrote = write_file(stored, options.output, order) if options.single_file else (write_parts(stored, options.output, order) or True)
-    stats = {**seen.get, **out.get}
+    stats = {**read, **out}
     stats["duplicates"] = stats["lines_kept"] - stats["lines_written"]
     stats["output"] = options.output if wrote else None
     if options.save_duplicates:
         repeated = duplicates(clean(lines, options.cleaning()), order)
         write_file(repeated, f"{options.output}.duplicates", order)
-    from ..sources.sinks import delete
-
     delete(spark, table)
     stats["seconds"] = round(time.time() - began, 3)
     if options.save_stats:
