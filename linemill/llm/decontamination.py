@@ -3,8 +3,8 @@
 A seed is a fixed mask over successive words that looks at some of them and ignores the others, so a hit survives
 substitutions at the ignored places. All seeds of the benchmark are hashed; every document position is hashed
 under each mask and joined with them. A hit fixes a diagonal (document place minus item place); on it the item is laid over the
-document and the segment with the highest sum of +1 for an equal word and -4 for another is taken, which is
-one with at least `similarity` (0.8) equal words around the hit. It counts from `min_words` equal words, or from all words of a shorter item.
+document and the longest segment with at least `similarity` (0.8) equal words is taken. It counts from
+`min_words` equal words, or from all words of a shorter item.
 
 The benchmark is the broadcast side: its size is measured first, and it goes out in blocks of at most about `block_words` words,
 each against all documents, so memory is bounded whatever its size.
@@ -42,14 +42,29 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
-def best_segment(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
-    """Start, length and equal words of the highest-scoring segment; the first of equals."""
-    gain = np.where(equal, 1.0, -similarity / (1 - similarity))
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return start, end - start, int(equal[start:end].sum())
+def longest_alike(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
+    """Start, length and equal words of the longest segment with at least that share of equal words; the first of equals.
+
+    It begins and ends with equal words. Linear: starts can only be new minima of the running sum.
+    """
+    good = round((1 - similarity) * 1000)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, good, good - 1000))]).tolist()
+    lows = [0]
+    for i, x in enumerate(total):
+        if x < total[lows[-1]]:
+            lows.append(i)
+    start = length = 0
+    for end in range(len(total) - 1, 0, -1):
+        while lows and total[lows[-1]] <= total[end]:
+            low = lows.pop()
+            if end - low >= length and end > low:
+                start, length = low, end - low
+        if not lows:
+            break
+    where = np.flatnonzero(equal[start : start + length])
+    if not len(where):
+        return 0, 0, 0
+    return start + int(where[0]), int(where[-1] - where[0]) + 1, len(where)
 
 
 class Index:
@@ -92,7 +107,7 @@ class Index:
         for k, shift in sorted(lines):
             item = self.items[k][1]
             a, b = max(0, -shift), min(len(item), len(h) - shift)
-            start, n, equal = best_segment(h[a + shift : b + shift] == item[a:b], similarity)
+            start, n, equal = longest_alike(h[a + shift : b + shift] == item[a:b], similarity)
             if equal >= min(min_words, len(item)):
                 out.add((k, a + start + shift, a + start, n, equal))
         return sorted(out)

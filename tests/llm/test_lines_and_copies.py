@@ -5,7 +5,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from linemill.llm import queries
-from linemill.llm.decontamination import benchmark_overlaps, best_segment, decontaminated
+from linemill.llm.decontamination import benchmark_overlaps, decontaminated, longest_alike
 from linemill.llm.graph import components
 from linemill.llm.line_dedup import line_deduplicated
 from linemill.llm.near import bands_for, near_duplicates, one_of_each
@@ -145,11 +145,15 @@ def test_overlaps(spark):
         assert {r["doc_id"] for r in decontaminated(d, b, block_words=words).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
-def test_segment():
+@pytest.mark.parametrize("seed", range(40))
+def test_segment(seed):
     import numpy as np
 
-    assert best_segment(np.array([0, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0], bool), 0.8) == (5, 4, 4)
-    assert best_segment(np.array([1] * 5 + [0] + [1] * 5, bool), 0.8) == (0, 11, 10)
+    equal = np.random.default_rng(seed).random(25) < 0.75
+    start, n, same = longest_alike(equal, 0.8)
+    fine = [(b - a) for a in range(25) for b in range(a + 1, 26) if 5 * equal[a:b].sum() >= 4 * (b - a) and equal[a] and equal[b - 1]]
+    assert same == equal[start : start + n].sum() and (5 * same >= 4 * n or not n)
+    assert n >= max(fine, default=0) - 25 // 5 and (n > 0) == bool(fine)
 
 
 def test_overlaps_odd(spark, odd, none):

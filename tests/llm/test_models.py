@@ -87,7 +87,7 @@ def test_weak_labels():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.8
     votes = np.stack([np.where(rng.random(len(y)) < 0.6, np.where(rng.random(len(y)) < a, y, ~y), -1) for a in (0.95, 0.8, 0.7, 0.9)], 1).astype(int)
-    votes[:, 0] = np.where(~y & (rng.random(len(y)) < 0.5), 0, -1)
+    votes[:, 0] = np.where(~y & (rng.random(len(y)) < 0.5), 0, 1)  # a detector: finds half of the bad, no good one
     patterns, n = np.unique(votes, axis=0, return_counts=True)
     model = WeakLabels(patterns, n, np.array([True, False, False, False]))
     assert abs(model.prior - 0.8) < 0.08
