@@ -157,8 +157,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, s
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), blank().alias("text"))
     total = tests.agg(F.sum(F.size(F.split("text", r"\s+")).cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
-    schema = docs.schema.simpleString()[7:-1] if not docs.columns else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for k in range(blocks):
         rows = [(r[0], r[1].encode()) for r in tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        docs = mapped(docs.withColumn("_text", blank()), _clean(spark.sparkContext.broadcast(rows), min_words, similarity), schema)
+        docs = mapped(docs.select("*", blank().alias("_text")), _clean(spark.sparkContext.broadcast(rows), min_words, similarity), schema)
     return docs

@@ -24,19 +24,32 @@ DIMS = 1 << 18
 STOPWORDS = ["the", "of", "and", "to", "in", "is", "that", "der", "die", "und", "das", "den", "von", "ist", "le", "la", "les", "et", "des", "de", "que", "el", "los", "en", "y", "un", "una", "une", "ein", "eine"]
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes of each heuristic on a text that is not null."""
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    share = lambda signs: (F.length(text) - F.length(F.translate(text, signs, ""))) / chars
-    words = F.split(F.trim(text), r"\s+")
-    lines = F.split(text, "\n")
-    n = F.size(words)
+def voted(texts: DataFrame) -> DataFrame:
+    """text (not null) with a column for each heuristic's vote. Arrays are columns of a projection of their own, so each is made once."""
+    at = texts.select("text", F.split(F.trim("text"), r"\s+").alias("words"), F.split("text", "\n").alias("lines"))
+    share = lambda signs: (F.length("text") - F.length(F.translate("text", signs, ""))) / F.greatest(F.length("text"), F.lit(1))
+    at = at.select(
+        "text",
+        F.length("text").alias("chars"),
+        F.size("words").alias("n"),
+        F.size("lines").alias("rows"),
+        F.size(F.array_distinct("lines")).alias("own_rows"),
+        F.size(F.array_distinct("words")).alias("own_words"),
+        F.size(F.array_intersect(F.split(F.lower("text"), r"\s+"), F.array(*map(F.lit, STOPWORDS)))).alias("known"),
+        F.size(F.filter(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: a == b), lambda x: x)).alias("echo"),
+        share("#$%&*@^~<>{}[]\\=+").alias("signs"),
+        share("|").alias("bars"),
+        share("!").alias("marks"),
+        share(".?").alias("stops"),
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÑÓÔÖÙÛÜ").alias("upper"),
+    )
+    return at.select("text", *[v.alias(f"vote_{k}") for k, v in _votes().items()])
+
+
+def _votes() -> dict[str, Column]:
+    chars, n, rows, own_rows, own_words, known, echo, signs, bars, marks, stops, upper = map(F.col, ("chars", "n", "rows", "own_rows", "own_words", "known", "echo", "signs", "bars", "marks", "stops", "upper"))
     vote = lambda bad, good: F.when(bad, 0).when(good, 1).otherwise(-1)
-    upper = share("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÑÓÔÖÙÛÜ")
-    signs, bars, marks, stops = share("#$%&*@^~<>{}[]\\=+"), share("|"), share("!"), share(".?")
-    known = F.size(F.array_intersect(F.transform(words, lambda w: F.lower(w)), F.array(*map(F.lit, STOPWORDS))))
     long = n > 20
-    echo = F.size(F.filter(F.zip_with(words, F.slice(words, 2, n), lambda a, b: a == b), lambda x: x))
     return {
         "signs": vote(signs > 0.02, long & (signs < 0.005)),
         "bars": vote(bars > 0.01, long & (bars == 0)),
@@ -45,9 +58,9 @@ def labellers(text: Column) -> dict[str, Column]:
         "sentences": vote(long & (stops < 0.001), long & (stops > 0.004) & (stops < 0.06)),
         "stopwords": vote(long & (known < 2), known >= 4),
         "word_length": vote(long & ((chars / n > 16) | (chars / n < 2.5)), long & (chars / n > 4) & (chars / n < 10)),
-        "repeats": vote((F.size(lines) > 3) & (F.size(F.array_distinct(lines)) < 0.6 * F.size(lines)), (F.size(lines) > 3) & (F.size(F.array_distinct(lines)) > 0.95 * F.size(lines))),
+        "repeats": vote((rows > 3) & (own_rows < 0.6 * rows), (rows > 3) & (own_rows > 0.95 * rows)),
         "echo": vote(long & (echo > 0.05 * n), long & (echo < 0.01 * n)),
-        "variety": vote(long & (F.size(F.array_distinct(words)) < 0.2 * n), long & (F.size(F.array_distinct(words)) > 0.4 * n)),
+        "variety": vote(long & (own_words < 0.2 * n), long & (own_words > 0.4 * n)),
     }
 
 
@@ -161,18 +174,18 @@ def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) ->
     """
     spark = docs.sparkSession
     text = docs.select(blank().alias("text"))
-    votes = labellers(F.col("text"))
-    table = text.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    patterns = table[list(votes)].to_numpy(int).reshape(-1, len(votes))
-    model = WeakLabels(patterns, table["n"].to_numpy(float), np.isin(list(votes), DETECTORS))
+    votes = [f"vote_{k}" for k in _votes()]
+    table = voted(text).groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    patterns = table[votes].to_numpy(int).reshape(-1, len(votes))
+    model = WeakLabels(patterns, table["n"].to_numpy(float), np.isin(votes, [f"vote_{k}" for k in DETECTORS]))
     label = dict(zip(map(tuple, patterns), model.posterior(patterns)))
     total = max(int(table["n"].sum()), 1)
     share = min(1.0, 1.5 * sample_rows / total)
     slot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     near = text.filter(slot <= int(share * (1 << 20))).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
-    key = F.concat_ws(",", *[v.cast("string") for v in votes.values()])
+    key = F.concat_ws(",", *[F.col(v).cast("string") for v in votes])
     prior = spark.createDataFrame([(",".join(map(str, k)), float(p)) for k, p in label.items()], "pattern string, label double")
-    sample = near.withColumn("pattern", key).join(F.broadcast(prior), "pattern").select("text", "label")
+    sample = voted(near).withColumn("pattern", key).join(F.broadcast(prior), "pattern").select("text", "label")
     got = mapped(sample, _sampled, "ids array<int>, x array<float>, label double").toPandas()
     w = fit_scorer(got["ids"].tolist(), got["x"].tolist(), got["label"].to_numpy())
     kept = [c for c in docs.columns if c not in ("score", "keep")]
