@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import HASHES, blank, mapped, mixed, saved, shipped, shuffle_parts, words_of
 
-BATCH = 16 << 20
+BATCH = 6 << 20
 NONE = np.uint32(0xFFFFFFFF)
 K = 5
 SPARE = 0.1
@@ -212,9 +212,11 @@ def _bigrams(uni: Unigrams, types: int, parts: int):
             yield _rows([(0, number % parts, number, pack(ids, named, learn, lens, *sums, np.array([single], np.int64)))], "kind part batch payload")
             on = num[h] != NONE
             i, h, w = i[on], h[on], w[on]
+            del at, behind, base, answers
             code = (num[h].astype(np.uint64) << np.uint64(32)) | num[w].astype(np.uint64)
             order = np.argsort(code, kind="stable")
             code, h, w, d = code[order], h[order], w[order], doc[i][order]
+            del order, i, on, doc
             if not len(code):
                 continue
             new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
