@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 
-_DOC = ["k1", "k2"]
+_DOC = ["__doc1", "__doc2"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64("text")})
+    return docs.withColumns({"__doc1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__doc2": F.xxhash64("text")})
 
 
 def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """k1, k2 (a document's keys) and places: the line numbers, from 0, to remove."""
+    """__doc1, __doc2 (a document's keys) and places: the line numbers, from 0, to remove."""
     text = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).filter("text is not null")
     lines = text.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).select(*_DOC, "place", F.xxhash64("line").alias("line"), F.size(F.filter(F.split("line", r"[ \t\r\x0b\x0c]+"), lambda w: w != "")).cast("long").alias("words")).filter("words > 0")
     lines = lines.repartition(*_DOC).dropDuplicates([*_DOC, "place"])
@@ -69,20 +69,20 @@ def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             own = own.withColumn("r2", F.lit(0).cast("long"))
         found = own.select(*_DOC, "start", "n", "r", "r2") if found is None else found.unionByName(own.select(*_DOC, "start", "n", "r", "r2"))
     found = saved(found, "found")
-    first = found.groupBy("n", "r", "r2").agg(F.min(F.struct("k1", "k2", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    later = found.join(first, ["n", "r", "r2"]).filter(F.struct("k1", "k2", "start") != F.col("first"))
+    first = found.groupBy("n", "r", "r2").agg(F.min(F.struct("__doc1", "__doc2", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    later = found.join(first, ["n", "r", "r2"]).filter(F.struct("__doc1", "__doc2", "start") != F.col("first"))
     gone = later.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("seq")).distinct()
     return gone.join(lines.select(*_DOC, "seq", "place"), [*_DOC, "seq"]).groupBy(*_DOC).agg(F.collect_list("place").alias("places"))
 
 
 def line_deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with later copies of repeated line runs taken out of text, and lines_removed (long)."""
-    kept = [c for c in docs.columns if c not in ("k1", "k2", "_places", "lines_removed")]
-    gone = saved(later_lines(docs, min_words).withColumnRenamed("places", "_places"), "gone")
-    split = _keyed(docs.select(*kept)).withColumn("_lines", F.split(F.col("text").cast("string"), "\n")).drop("text")
-    split = split.join(gone, _DOC, "left").withColumn("_stay", F.when(F.col("_places").isNotNull(), F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_places"))))
-    text = F.when(F.col("_stay").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
-    return split.select(*[text.alias("text") if c == "text" else c for c in kept], F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("lines_removed"))
+    kept = [c for c in docs.columns if c not in ("__doc1", "__doc2", "__places", "lines_removed")]
+    gone = saved(later_lines(docs, min_words).withColumnRenamed("places", "__places"), "gone")
+    split = _keyed(docs.select(*kept)).withColumn("__lines", F.split(F.col("text").cast("string"), "\n")).drop("text")
+    split = split.join(gone.hint("merge"), _DOC, "left").withColumn("__stay", F.when(F.col("__places").isNotNull(), F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__places"))))
+    text = F.when(F.col("__stay").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
+    return split.select(*[text.alias("text") if c == "text" else c for c in kept], F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 #: {0}: the table, {1}: words that make a run count.
