@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     groups = saved(components(links).join(nodes.drop("bands", "low"), "node"), "groups")
     size = groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_nodes)).cast("int").alias("blocks"))
     wanted = groups.select("text_key").distinct()
-    sets = mapped(base.select("text_key", "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text"), _sets(n), "node binary, grams_of binary", 500).dropDuplicates(["node"])
+    sets = mapped(base.select("text_key", "text").join(wanted.hint("merge"), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text"), _sets(n), "node binary, grams_of binary", 500).dropDuplicates(["node"])
     placed = groups.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = placed.select("root", "node", "copies", "grams_of", "block", other.alias("k"))
@@ -226,10 +226,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     least = found.groupBy(F.coalesce("class_id", F.lit(-(1 << 63))).alias("class")).agg(F.min("at").alias("stay"))
     gone = found.withColumn("class", F.coalesce("class_id", F.lit(-(1 << 63)))).join(least, "class").select("at", (F.col("at") == F.col("stay")).alias("stays")).groupBy("at").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
     ids = lambda c: (F.coalesce(c["doc_id"], F.lit(-(1 << 63))), c["text_key"])
-    gone = saved(gone.filter(~F.col("stays") | (F.col("rows") > 1)).select(ids(F.col("at"))[0].alias("_k1"), ids(F.col("at"))[1].alias("_k2"), "stays"), "gone")
-    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k2": F.xxhash64(blank())})
-    kept = keyed.join(gone, ["_k1", "_k2"], "left_anti")
+    gone = saved(gone.filter(~F.col("stays") | (F.col("rows") > 1)).select(ids(F.col("at"))[0].alias("__k1"), ids(F.col("at"))[1].alias("__k2"), "stays"), "gone")
+    keyed = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__k2": F.xxhash64(blank())})
+    kept = keyed.join(gone.hint("merge"), ["__k1", "__k2"], "left_anti")
     repeated = gone.filter("stays")
     if not repeated.isEmpty():
-        kept = kept.unionByName(keyed.join(repeated.drop("stays"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]))
+        kept = kept.unionByName(keyed.join(repeated.drop("stays"), ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]))
     return kept.select(*docs.columns)
