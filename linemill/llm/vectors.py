@@ -188,10 +188,11 @@ def _compared(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, is_query, k: int = 10, list_rows: int = 256, sample_rows: int = 20_000, most_lists: int = 4096, closure: float = 0.15, replicas: int = 4, prune: float = 0.35, beam: int = 96) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query, k: int = 10, list_rows: int = 1024, sample_rows: int = 20_000, most_lists: int = 4096, closure: float = 0.15, replicas: int = 4, prune: float = 0.35, beam: int = 96, index_beam: int = 24) -> DataFrame:
     """vec_id and embedding -> query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each row where is_query holds.
 
-    sample_rows bounds the vectors that fit the centroids, most_lists the centroids held in each worker.
+    sample_rows bounds the vectors that fit the centroids, most_lists the centroids held in each worker. beam and index_beam: centroids
+    that the graph search holds for a query and for a vector to index, which needs its few nearest only.
     """
     spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -212,7 +213,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, list_rows: int = 256,
     fit = near.orderBy("key", "v").limit(sample_rows).select("v").toPandas()["v"]
     c = balanced_centroids(np.frombuffer(b"".join(fit), "<f8").reshape(len(fit), -1), lists)
     shared = spark.sparkContext.broadcast(c)
-    indexed = saved(mapped(entries, _lists(shared, beam, closure, replicas), "key long, ids array<bigint>, v binary, lists array<int>", 1000).select("ids", "v", F.explode("lists").alias("list")), "index")
+    indexed = saved(mapped(entries, _lists(shared, index_beam, closure, replicas), "key long, ids array<bigint>, v binary, lists array<int>", 1000).select("ids", "v", F.explode("lists").alias("list")), "index")
     asked = packed(good.filter("asks").groupBy("v", "vec_id").agg(F.first("asks").alias("asks")).select(F.array("vec_id").alias("ids"), "v"), "ids")
     asked = saved(mapped(asked, _lists(shared, beam, prune, None), "ids array<bigint>, v binary, lists array<int>", 1000).select("ids", "v", F.explode("lists").alias("list")), "asked")
     cut = lambda df, rows: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("of"))
