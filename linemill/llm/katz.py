@@ -314,30 +314,22 @@ def _evaluated(uni: Unigrams, d2: np.ndarray, least: int, hot: float):
 
 
 def _texts(shared):
+    """Rows of a batch, its texts first: one row for each text, with the sums of all ranges added."""
+
     def run(batches):
         weight = shared.value
         known = np.array(sorted(weight), np.uint32)
         logs = np.array([weight[k] for k in known.tolist()], float)
-        for b in batches:
-            for kind, batch, payload in zip(*(c.to_pylist() for c in b.columns)):
-                got = unpack(payload)
-                if kind == 0:
-                    ids, named, learn, lens, n_known, base, s, _ = got
-                    n = len(ids)
-                    cols = [np.arange(n), pa.array(ids, mask=named == 0), lens, n_known.astype(np.int64), base, s]
-                else:
-                    docs, s, who, times, ctx = got
-                    total = np.bincount(docs, s, 1)
-                    if len(who):
-                        more = np.bincount(who, times * logs[np.searchsorted(known, ctx)])
-                        total = np.pad(total, (0, max(0, len(more) - len(total))))
-                        total[: len(more)] += more
-                    at = np.flatnonzero(total)
-                    n = len(at)
-                    none = pa.nulls(n, pa.int64())
-                    cols = [at, none, none, none, pa.nulls(n, pa.float64()), total[at]]
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch), pa.int64()), *(pa.array(c) for c in cols)], ["batch", "place", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for _, rows in _groups(batches, 3):
+            rows.sort(key=lambda r: r[0])
+            ids, named, _, lens, n_known, base, score, _ = unpack(rows[0][1])
+            score = score.copy()
+            for _, payload in rows[1:]:
+                docs, sums, who, times, ctx = unpack(payload)
+                score[docs] += sums
+                if len(who):
+                    score += np.bincount(who, times * logs[np.searchsorted(known, ctx)], len(score))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=named == 0), pa.array(lens), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -352,7 +344,7 @@ def katz_scores(docs: DataFrame, learn_from, least: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     shipped(spark)
-    parts = shuffle_parts(spark)
+    parts = 2 * shuffle_parts(spark)  # a range of bigrams must fit in a worker
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn_from, F.lit(False)).alias("learn"), blank().alias("text"))
     asked = mapped(base, _words(parts), "part int, batch long, payload binary").repartition(parts, "part").sortWithinPartitions("part", "batch")
     words = saved(mapped(asked, _counted_words(parts, least), _ROW, 8), "unigrams")
@@ -373,8 +365,8 @@ def katz_scores(docs: DataFrame, learn_from, least: int = 2) -> DataFrame:
     found = saved(spark.createDataFrame(rows.mapPartitions(_evaluated(uni, d2, least, hot)), kinds, verifySchema=False), "bigrams")
     spread = found.filter("kind = 2").groupBy("context").agg(F.sum("mass").alias("a"), F.sum("low").alias("b"), F.max("total").alias("n")).collect()  # under 2 * parts rows
     weight = {r["context"]: float(np.log10((1 - r["a"] / (r["n"] + SPARE)) / (1 - r["b"]))) for r in spread}
-    texts = mapped(found.filter("kind < 2").select("kind", "batch", "payload"), _texts(spark.sparkContext.broadcast(weight)), "batch long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double", 16)
-    out = texts.groupBy("batch", "place").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_known", "base_score")), F.sum("score").alias("score"))
+    sums = found.filter("kind < 2").select("batch", "kind", "payload").repartition(parts, "batch").sortWithinPartitions("batch", "kind")
+    out = mapped(sums, _texts(spark.sparkContext.broadcast(weight)), "doc_id long, n_tokens long, n_known long, base_score double, score double", 16)
     out = out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     out.tables = {"unigrams": words.filter("kind = 3"), "bigrams": found.filter("kind = 3"), "weights": found.filter("kind = 4")}
     return out
