@@ -4,7 +4,8 @@ Fitting: balanced k-means over at most `sample_rows` distinct vectors (the small
 in-memory graph (each centroid's nearest ones, and longer random edges) is searched best-first with a bounded beam.
 Indexing: every vector goes to its nearest centroid's list; one near a boundary also to further lists, whose centroids are
 at most (1 + `closure`) times as far as the nearest, except those closer to a centroid already taken than to the vector.
-Searching: a query's lists are those whose centroids are at most (1 + `prune`) times as far as its nearest centroid.
+Searching: a query's lists are all those whose centroids are at most (1 + `prune`) times as far as its nearest centroid;
+the beam grows until it holds a centroid beyond that.
 Lists longer than `list_rows` are split in parts, and a list's queries are compared with each part in blocks: no task
 holds more than a part and a block.
 
@@ -75,7 +76,11 @@ class CentroidGraph:
         self.start = np.unique(np.linspace(0, n - 1, min(n, 32)).astype(np.int64))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The beam's centroids and their distances, nearest first."""
+        """The beam's centroids and their distances, nearest first; all centroids where the beam has room for them."""
+        if beam >= len(self.c):
+            d = np.sqrt(((self.c - q) ** 2).sum(1))
+            out = np.argsort(d, kind="stable")
+            return out, d[out]
         seen = np.zeros(len(self.c), bool)
         d = np.sqrt(((self.c[self.start] - q) ** 2).sum(1))
         seen[self.start] = True
@@ -126,6 +131,10 @@ def _lists(shared, beam: int, ratio: float, most: int | None):
             out = []
             for q in x:
                 ids, d = graph.search(q, beam)
+                held = beam
+                while most is None and len(ids) < len(c) and d[-1] <= (1 + ratio) * d[0] + 1e-12:
+                    held *= 4
+                    ids, d = graph.search(q, held)
                 ids = ids[d <= (1 + ratio) * d[0] + 1e-12]
                 if most is not None:
                     took = [ids[0]]
@@ -192,7 +201,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, list_rows: int = 1024,
     """vec_id and embedding -> query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each row where is_query holds.
 
     sample_rows bounds the vectors that fit the centroids, most_lists the centroids held in each worker. beam and index_beam: centroids
-    that the graph search holds for a query and for a vector to index, which needs its few nearest only.
+    that the graph search holds at first for a query, and for a vector to index, which needs its few nearest only.
     """
     spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
