@@ -4,7 +4,7 @@ Documents are tokenised once into a table in the shared folder. Corpus statistic
 id, documents, ids) cover all of it and have the vocabulary's size. The index is sharded: each shard of about
 `shard_tokens` ids has its own postings over token ids and is packed by itself, so memory does not grow with
 the corpus and no document is in two shards. In a shard the first unused document seeds a window; the unused
-document that scores highest for the seed comes next, until the window is full. What the last one has left
+document that scores highest for the seed, by all of the seed's terms, comes next, until the window is full. What the last one has left
 over seeds the next window. Where no unused neighbour shares a term, the first unused document follows.
 A shard's last ids go to windows of powers of two, so nothing is padded.
 
@@ -23,6 +23,7 @@ from .bpe import encoder
 from .common import blank, mapped, saved
 
 K1, B = 1.2, 0.75
+CHUNK = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -54,9 +55,9 @@ def _statistics(dtype: str, size: int):
 
 
 class Shard:
-    """Postings of some documents: for a document, how well each other one matches its weightiest terms."""
+    """Postings of some documents: for a document, how well each other one matches its terms."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, terms: int | None = None):
         self.n, self.terms = len(docs), terms
         lens = np.array([len(d) for d in docs], np.int64)
         keys = np.repeat(np.arange(self.n, dtype=np.int64), lens) * len(idf) + np.concatenate(docs)
@@ -67,27 +68,44 @@ class Shard:
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
-        ends = np.cumsum(np.bincount(term, minlength=len(idf)))
-        self.post_end, self.post_n = ends, np.diff(ends, prepend=0)
+        self.size = len(idf)
+        self._ends(term)
+
+    def _ends(self, term: np.ndarray) -> None:
+        n = np.bincount(term, minlength=self.size)
+        self.post_end, self.post_n = np.cumsum(n), n
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Drops the postings of documents that are used."""
+        on = unused[self.post_doc]
+        term = np.repeat(np.arange(self.size), self.post_n)[on]
+        self.post_doc, self.post_weight = self.post_doc[on], self.post_weight[on]
+        self._ends(term)
 
     def scores(self, d: int) -> np.ndarray:
+        """Of all documents with postings, by all of d's terms (or its `terms` weightiest)."""
         a, b = self.first[d], self.first[d + 1]
         term, weight = self.term[a:b], self.weight[a:b]
-        shared = self.post_n[term] > 1
-        term, weight = term[shared], weight[shared]
-        if len(term) > self.terms:
-            best = np.argpartition(-weight, self.terms)[: self.terms]
-            term = term[best]
-        n = self.post_n[term]
-        if not len(term):
-            return np.zeros(self.n)
-        at = np.arange(n.sum()) + np.repeat(self.post_end[term] - np.cumsum(n), n)
-        return np.bincount(self.post_doc[at], self.post_weight[at], self.n)
-
-
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int) -> list[list[tuple[int, int, int]]]:
+        held = self.post_n[term] > 0
+        term, weight = term[held], weight[held]
+        if self.terms is not None and len(term) > self.terms:
+            term = term[np.argpartition(-weight, self.terms)[: self.terms]]
+        out = np.zeros(self.n)
+        size = np.cumsum(self.post_n[term])
+        i = 0
+        while i < len(term):  # so many postings at once, to bound memory
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
+            n = self.post_n[term[i:j]]
+            at = np.arange(n.sum()) + np.repeat(self.post_end[term[i:j]] - np.cumsum(n), n)
+            out += np.bincount(self.post_doc[at], self.post_weight[at], self.n)
+            i = j
+        return out
+
+
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length); each is `window` long or, at the end, a power of two."""
     shard, unused, nxt = Shard(docs, idf, mean, terms), np.ones(len(docs), bool), 0
+    held = len(docs)
     out, pieces, room = [], [], window
     scores = None
     while True:
@@ -97,6 +115,10 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             break
         if pieces:
             if scores is None:
+                left = int(unused.sum())
+                if left < 0.8 * held:
+                    shard.keep(unused)
+                    held = left
                 scores = shard.scores(pieces[0][0])
                 scores[~unused] = 0
             d = int(np.argmax(scores))
@@ -131,7 +153,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
     return out
 
 
-def _packed(dtype: str, shared, window: int, shard_tokens: int, terms: int):
+def _packed(dtype: str, shared, window: int, shard_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -142,7 +164,7 @@ def _packed(dtype: str, shared, window: int, shard_tokens: int, terms: int):
         def out():
             nonlocal seq_id
             cols = [[] for _ in range(7)]
-            for seq in pack_shard(docs, idf, mean, window, terms):
+            for seq in pack_shard(docs, idf, mean, window):
                 at = 0
                 for d, start, n in seq:
                     for col, v in zip(cols, (names[d], start, n, docs[d][start : start + n].astype("<u4").tobytes(), len(docs[d]), seq_id, at)):
@@ -166,11 +188,8 @@ def _packed(dtype: str, shared, window: int, shard_tokens: int, terms: int):
     return run
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, shard_tokens: int = 1 << 20, terms: int = 64) -> DataFrame:
-    """Pieces of documents in sequences: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
-
-    terms: so many of a seed's distinct ids, the weightiest that another document of its shard has, make its query.
-    """
+def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, shard_tokens: int = 1 << 20) -> DataFrame:
+    """Pieces of documents in sequences: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     enc = encoder(vocabulary)
     dtype, size = enc.dtype.str, max(enc.size, end_id + 1)
@@ -182,4 +201,4 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024
     df[list(stats)] = list(stats.values())
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float64)
     shared = spark.sparkContext.broadcast((idf, total / max(n, 1)))
-    return mapped(table, _packed(dtype, shared, window, shard_tokens, terms), PIECES)
+    return mapped(table, _packed(dtype, shared, window, shard_tokens), PIECES)

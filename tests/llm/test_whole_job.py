@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from linemill.llm.packing import pack_shard
 from linemill.llm.vectors import neighbours
 
 
@@ -18,3 +19,10 @@ def test_neighbours_with_more_lists_than_the_beam(spark):
     got = neighbours(df, F.col("vec_id") % 100 == 0, list_rows=20).toPandas()
     found = sum(len(set(g["vec_id"]) & set(nearest(x, q))) for q, g in got.groupby("query_id"))
     assert found / 400 >= 0.95
+
+
+def test_neighbour_by_all_terms_of_the_seed():
+    idf = np.append(np.full(64, 1.01), np.ones(36))
+    docs = [np.arange(100), *(np.array([i]) for i in range(64)), np.arange(64, 100)]
+    first = pack_shard([d.astype(np.uint16) for d in docs], idf, 10.0, 136)[0]
+    assert [d for d, _, _ in first] == [0, 65]
