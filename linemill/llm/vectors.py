@@ -5,7 +5,8 @@ in-memory graph (each centroid's nearest ones, and longer random edges) is searc
 Indexing: every vector goes to its nearest centroid's list; one near a boundary also to further lists, whose centroids are
 at most (1 + `closure`) times as far as the nearest, except those closer to a centroid already taken than to the vector.
 Searching: a query's lists are all those whose centroids are at most (1 + `prune`) times as far as its nearest centroid;
-the beam grows until it holds a centroid beyond that.
+the beam grows until it holds a centroid beyond that. Where these lists have too few entries for k neighbours (counted by each
+entry's nearest list, without those that hold nothing but the query's id), the next nearest lists follow.
 Lists longer than `list_rows` are split in parts, and a list's queries are compared with each part in blocks: no task
 holds more than a part and a block.
 
@@ -120,22 +121,29 @@ def _graph(c: np.ndarray) -> CentroidGraph:
 
 
 def _lists(shared, beam: int, ratio: float, most: int | None):
-    """Adds the lists of each vector. most: replicas of an indexed vector at most, after the relative-neighbour rule; None for queries."""
+    """Adds the lists of each vector. most: replicas of an indexed vector at most, after the relative-neighbour rule; None for queries.
+
+    Queries have in `need` how many entries their lists must hold; shared then has the entries by their nearest list, too.
+    """
 
     def run(batches):
-        c = shared.value
+        c, size = shared.value if most is None else (shared.value, None)
         graph = _graph(c)
         for b in batches:
             at = b.schema.get_field_index("v")
             x = np.frombuffer(b"".join(b.column(at).to_pylist()), "<f8").reshape(b.num_rows, -1)
             out = []
-            for q in x:
+            needs = b.column(b.schema.get_field_index("need")).to_pylist() if most is None else [0] * len(x)
+            for q, need in zip(x, needs):
                 ids, d = graph.search(q, beam)
                 held = beam
-                while most is None and len(ids) < len(c) and d[-1] <= (1 + ratio) * d[0] + 1e-12:
+                while most is None and len(ids) < len(c) and (d[-1] <= (1 + ratio) * d[0] + 1e-12 or size[ids].sum() < need):
                     held *= 4
                     ids, d = graph.search(q, held)
-                ids = ids[d <= (1 + ratio) * d[0] + 1e-12]
+                near = int((d <= (1 + ratio) * d[0] + 1e-12).sum())
+                if most is None:
+                    near = max(near, int(np.searchsorted(np.cumsum(size[ids]), need)) + 1)
+                ids = ids[:near]
                 if most is not None:
                     took = [ids[0]]
                     for k, i in enumerate(ids[1:], 1):
@@ -163,12 +171,13 @@ def _compared(k: int):
         if not cand or len(cand) == len(rows):
             return
         x = np.frombuffer(b"".join(r[2] for r in cand), "<f8").reshape(len(cand), -1)
+        only, single = np.array([r[1][0] for r in cand]), np.array([len(r[1]) == 1 for r in cand])
         for r in rows[len(cand) :]:
             q = np.frombuffer(r[2], "<f8")
             d = _exact(q, x)
-            # k + 1 entries: one may hold nothing but the query itself
-            near = np.argpartition(d, k + 1)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-            top = np.flatnonzero(d <= d[near].max())
+            d[np.isin(only, r[1]) & single] = np.inf  # entries that hold nothing but the query's id
+            near = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
+            top = np.flatnonzero((d <= d[near].max()) & (d < np.inf))
             for i in top:
                 for v in cand[i][1]:
                     for own in r[1]:
@@ -222,9 +231,15 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, list_rows: int = 1024,
     fit = near.orderBy("key", "v").limit(sample_rows).select("v").toPandas()["v"]
     c = balanced_centroids(np.frombuffer(b"".join(fit), "<f8").reshape(len(fit), -1), lists)
     shared = spark.sparkContext.broadcast(c)
-    indexed = saved(mapped(entries, _lists(shared, index_beam, closure, replicas), "key long, ids array<bigint>, v binary, lists array<int>", 1000).select("ids", "v", F.explode("lists").alias("list")), "index")
-    asked = packed(good.filter("asks").groupBy("v", "vec_id").agg(F.first("asks").alias("asks")).select(F.array("vec_id").alias("ids"), "v"), "ids")
-    asked = saved(mapped(asked, _lists(shared, beam, prune, None), "ids array<bigint>, v binary, lists array<int>", 1000).select("ids", "v", F.explode("lists").alias("list")), "asked")
+    indexed = saved(mapped(entries, _lists(shared, index_beam, closure, replicas), "key long, ids array<bigint>, v binary, lists array<int>", 1000).select("ids", "v", F.posexplode("lists").alias("place", "list")), "index")
+    sizes = np.zeros(len(c), np.int64)
+    for r in indexed.filter("place = 0").groupBy("list").count().collect():  # at most most_lists rows
+        sizes[r["list"]] = r["count"]
+    both = spark.sparkContext.broadcast((c, sizes))
+    indexed = indexed.drop("place")
+    repeated = entries.select(F.explode("ids").alias("id")).groupBy("id").count().filter("count > 1")
+    asked = packed(good.filter("asks").groupBy("v", "vec_id").agg(F.first("asks").alias("asks")).join(repeated, F.col("vec_id") == F.col("id"), "left").select(F.array("vec_id").alias("ids"), (F.coalesce("count", F.lit(1)) + k).alias("need"), "v"), "ids", "need")
+    asked = saved(mapped(asked, _lists(both, beam, prune, None), "ids array<bigint>, need long, v binary, lists array<int>", 1000).select("ids", "v", F.explode("lists").alias("list")), "asked")
     cut = lambda df, rows: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("of"))
     parts, blocks = cut(indexed, 4 * list_rows), cut(asked, 1024)
     where = lambda df, of: df.join(F.broadcast(of), "list").withColumn("own", F.pmod(F.xxhash64("ids"), F.col("of")).cast("int"))  # noqa: E731  at most most_lists rows

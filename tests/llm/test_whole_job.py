@@ -1,11 +1,22 @@
 """What was cut once: each of these failed on the version before."""
 
+import collections
+import math
+import random
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from linemill.llm.katz import discounts
 from linemill.llm.packing import pack_shard
+from linemill.llm.quality import quality
+from linemill.llm.queries import op2_katz_backoff
 from linemill.llm.vectors import neighbours
 
+SF = "/root/testdata/sf0.01"
+
 
 def nearest(x, q, k=10):
     d = np.sqrt(((x - x[q]) ** 2).sum(1))
@@ -26,3 +37,12 @@ def test_neighbour_by_all_terms_of_the_seed():
     docs = [np.arange(100), *(np.array([i]) for i in range(64)), np.arange(64, 100)]
     first = pack_shard([d.astype(np.uint16) for d in docs], idf, 10.0, 136)[0]
     assert [d for d, _, _ in first] == [0, 65]
+
+
+def test_neighbours_of_small_groups_far_away(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[:4] = 1000 + 0.01 * x[:4]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, (v + 0.001).tolist()) for v in x[:4]] + [(1, (v + 0.01 * j).tolist()) for v in x[:1] for j in range(1, 15)]
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 4, list_rows=16)
+    assert {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()} == dict.fromkeys(range(4), 10)
