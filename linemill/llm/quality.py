@@ -169,8 +169,9 @@ def _scored(shared):
 def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) -> DataFrame:
     """docs with score (0 to 1) and keep (score >= keep_from).
 
-    sample_rows bounds the documents that fit the scorer: those with the smallest hashes of their text. The
-    vote patterns of the weak-label model are counted over all documents.
+    sample_rows bounds the texts that fit the scorer: distinct ones with the smallest hashes, each counting once however
+    many copies it has; all distinct texts, if there are no more. The vote patterns of the weak-label model are counted
+    over all documents.
     """
     spark = docs.sparkSession
     text = docs.select(blank().alias("text"))
@@ -180,9 +181,14 @@ def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) ->
     model = WeakLabels(patterns, table["n"].to_numpy(float), np.isin(votes, [f"vote_{k}" for k in DETECTORS]))
     label = dict(zip(map(tuple, patterns), model.posterior(patterns)))
     total = max(int(table["n"].sum()), 1)
-    share = min(1.0, 1.5 * sample_rows / total)
     slot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    near = text.filter(slot <= int(share * (1 << 20))).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    share = min(1.0, 1.5 * sample_rows / total)
+    while share < 1:  # copies leave fewer texts than rows
+        found = text.filter(slot <= int(share * (1 << 20))).select(F.xxhash64("text").alias("hash")).distinct().count()
+        if found >= sample_rows:
+            break
+        share = min(1.0, share * max(2.0, 1.5 * sample_rows / max(found, 1)))
+    near = text.filter(slot <= int(share * (1 << 20))).distinct().orderBy(F.xxhash64("text"), "text").limit(sample_rows)
     key = F.concat_ws(",", *[F.col(v).cast("string") for v in votes])
     prior = spark.createDataFrame([(",".join(map(str, k)), float(p)) for k, p in label.items()], "pattern string, label double")
     sample = voted(near).withColumn("pattern", key).join(F.broadcast(prior), "pattern").select("text", "label")

@@ -39,6 +39,16 @@ def test_neighbour_by_all_terms_of_the_seed():
     assert [d for d, _, _ in first] == [0, 65]
 
 
+def test_quality_with_large_copy_groups(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows, sample = 3000, 400
+    slot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    first = docs.filter(slot <= int(1.4 * sample / rows * (1 << 20))).orderBy(F.xxhash64("text")).first()["text"]
+    copies = spark.range(rows - docs.count()).select((F.col("id") + 10_000_000).alias("doc_id"), F.lit(first).alias("text"))
+    got = quality(docs.unionByName(copies), sample_rows=sample).join(labels, "doc_id").toPandas()
+    assert got[got.quality == 1].keep.mean() > 0.95 and got[got.quality == 0].keep.mean() < 0.6
+
+
 def test_neighbours_of_small_groups_far_away(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))
