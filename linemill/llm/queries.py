@@ -29,7 +29,7 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import katz_scores
 
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
-    return katz_scores(_documents(spark, sf_dir), fold != 0).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
+    return katz_scores(_documents(spark, sf_dir), fold != 0, least=1).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
