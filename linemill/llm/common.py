@@ -17,16 +17,24 @@ from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it is unset, a folder of this machine's.
+
+    A cluster without that setting has no folder that all of its machines see, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"/tmp/checkpoints/linemill-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base, True)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="linemill-checkpoints-")
+        atexit.register(shutil.rmtree, _LOCAL[app], True)
+    return _LOCAL[app]
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -42,13 +50,25 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table from saved() that nothing reads any more."""
-    path = getattr(df, "_linemill_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables from saved() or bucketed() that nothing reads any more."""
+    for df in tables:
+        path, spark = getattr(df, "_linemill_path", None), df.sparkSession
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        if getattr(df, "_linemill_table", None):
+            spark.sql(f"drop table if exists {df._linemill_table}")
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """saved() as a table in buckets by a column: joins on it move only the other side."""
+    spark, path = df.sparkSession, table_path(df.sparkSession, name)
+    table = "linemill_" + uuid.uuid4().hex
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._linemill_path, out._linemill_table = path, table
+    return out
 
 
 def shipped(spark: SparkSession) -> None:
@@ -69,11 +89,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mapped(df: DataFrame, fn, schema: str, batch: int = 2000) -> DataFrame:
-    """mapInArrow with batches of so many rows at most."""
+def _sliced(fn, rows: int):
+    """fn over record batches of so many rows at most."""
+    return lambda batches: fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def mapped(df: DataFrame, fn, schema, batch: int = 2000) -> DataFrame:
+    """mapInArrow with batches of so many rows at most; Spark bounds their bytes. No setting of the session changes."""
     shipped(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_sliced(fn, batch), schema)
 
 
 def blank(text: str = "text"):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linemill.llm import katz
 from linemill.llm.katz import discounts, katz_scores, pack, unpack
 from linemill.llm.quality import WeakLabels, quality
 from linemill.llm.tool_calls import levels, linked
@@ -22,36 +23,64 @@ def test_pack():
 
 
 def katz_model(train):
-    """Probabilities of an independent, plain version."""
-    c, b = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(t, t[1:]))
-    n = sum(c.values())
-    counts = lambda x: [sum(v == r for v in x.values()) for r in range(1, 7)]
-    d1, d2 = discounts(counts(c)), discounts(counts(b))
-    lost = 1 - sum(d1[min(v, 6)] * v for v in c.values()) / n
-    p1 = lambda w: d1[min(c[w], 6)] * c[w] / n if w in c else lost
-    seen = collections.defaultdict(dict)
-    for (h, w), k in b.items():
-        if k >= 2:
-            seen[h][w] = d2[min(k, 6)] * k / (c[h] + 0.1)
-    weight = {h: (1 - sum(x.values())) / (1 - sum(p1(w) for w in x)) for h, x in seen.items()}
-    p = lambda h, w: seen.get(h, {}).get(w) or weight.get(h, 1) * p1(w)
-    return c, n, p1, p, lost, weight
-
-
-def test_katz(spark):
+    """Probabilities of an independent, plain version: counts of n-grams, and p(history, word) by recursion."""
+    counts = [collections.Counter(tuple(t[i : i + n]) for t in train for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    total = sum(counts[0].values())
+    d1, d2, d3 = (discounts([sum(v == r for v in c.values()) for r in range(1, 7)]) for c in counts)
+    lost = 1 - sum(d1[min(v, 6)] * v for v in counts[0].values()) / total
+    p1 = lambda w: d1[min(counts[0][w,], 6)] * counts[0][w,] / total if (w,) in counts[0] else lost
+    tables = {1: p1}
+
+    def order(n, d):
+        behind = collections.defaultdict(dict)
+        for gram, k in counts[n - 1].items():
+            behind[gram[:-1]][gram[-1]] = k
+        below, mass, weight = tables[n - 1], {}, {}
+        for h, found in behind.items():
+            size = sum(found.values()) + all(k > 5 for k in found.values())
+            mass[h] = {w: d[min(k, 6)] * k / size for w, k in found.items()}
+            weight[h] = (1 - sum(mass[h].values())) / (1 - sum(below(*h[1:], w) for w in found))
+        tables[n] = lambda *g: mass[g[:-1]][g[-1]] if g[-1] in mass.get(g[:-1], ()) else weight.get(g[:-1], 1) * below(*g[1:])
+        return weight
+
+    order(2, d2)
+    weights = order(3, d3)
+    return counts, total, lambda t: sum(math.log10(tables[min(i, 2) + 1](*t[max(0, i - 2) : i + 1])) for i in range(len(t))), tables, weights, lost
+
+
+def katz_checked(docs, tokens, got, learns):
+    counts, n, score, *rest = katz_model([t for (i, _), t in zip(docs, tokens) if learns(i)])
+    c = counts[0]
+    for (i, _), t in zip(docs, tokens):
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w,] > 0 for w in t), n)
+        assert r["score"] == pytest.approx(score(t), abs=1e-9)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t), abs=1e-9)
+    return counts, n, score, *rest
+
+
+@pytest.mark.parametrize("batch, span", [(katz.BATCH, katz.RANGE), (700, 200)])
+def test_katz(spark, batch, span):
+    """With many batches and ranges too, where some contexts are spread."""
     rng = random.Random(2)
     words = [f"W{int(rng.paretovariate(0.8))}" for _ in range(3000)]
     docs = [(i, " ".join(words[rng.randrange(2900) :][: rng.randint(0, 60)])) for i in range(150)] + [(None, "w1 w2")]
+    docs += [(1000 + i, "often the same words here " * 7) for i in range(8)]
     tokens = [[*t.lower().split(), None] for _, t in docs]
-    c, n, p1, p, lost, weight = katz_model([t for (i, _), t in zip(docs, tokens) if i is not None and i % 7])
-    got = {r["doc_id"]: r for r in katz_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 7 != 0).collect()}
-    for (i, _), t in zip(docs, tokens):
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r["score"] == pytest.approx(math.log10(p1(t[0])) + sum(math.log10(p(h, w)) for h, w in zip(t, t[1:])), abs=1e-9)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t), abs=1e-9)
-    for h in list(weight)[:20]:
-        assert sum(p(h, w) for w in c) + weight[h] * lost == pytest.approx(1)
+    got = {r["doc_id"]: r for r in katz_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 7 != 0, batch, span).collect()}
+    counts, _, _, tables, weights, lost = katz_checked(docs, tokens, got, lambda i: i is not None and i % 7)
+    for h in list(weights)[:20]:
+        assert sum(tables[3](*h, w) for (w,) in counts[0]) + weights[h] * tables[2](h[1], "no word") == pytest.approx(1)
+
+
+def test_katz_tables(spark):
+    """The stored tables hold every n-gram of the learning texts with its count."""
+    docs = [(i, t) for i, t in enumerate(["a b c a b d", "a b c", "", "d", "a b c d a"])]
+    out = katz_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True))
+    counts = katz_model([[*t.split(), None] for _, t in docs])[0]
+    for n, name in enumerate(("unigrams", "bigrams", "trigrams")):
+        got = sorted(int(c) for r in out.tables[name].collect() for c in unpack(r["payload"])[-1])
+        assert got == sorted(counts[n].values())
 
 
 def test_katz_odd(spark, odd, none):
@@ -60,6 +89,13 @@ def test_katz_odd(spark, odd, none):
     assert {r["score"] for r in katz_scores(odd, F.col("doc_id") < -1).collect()} == {0.0}
 
 
+def test_katz_over_shuffled_rows(spark):
+    """Batches are written once, so rows whose order changes from run to run do no harm."""
+    docs = spark.range(500).select((F.col("id") % 97).alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 13).cast("string")) for k in range(1, 9)]).alias("text"))
+    got = katz_scores(docs.repartition(5, F.rand()), F.col("doc_id") % 3 != 0)
+    assert got.count() == 500 and got.filter("score >= 0 or score is null").count() == 0
+
+
 def brute_segments(s):
     """All maximal segments by their definition: every proper part sums to less, and no longer segment has that."""
     total = np.concatenate([[0], np.cumsum(s)])
