@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import blank, bucketed, mapped, mixed, saved, shuffle_parts
 
-BATCH, RANGE = 6 << 20, 3 << 20
+BATCH, RANGE = 6 << 20, 2 << 20
 K = 5
 END = b" "  # no word
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -166,9 +166,9 @@ class Grams:
         code = code[order]
         start = np.flatnonzero(np.concatenate([[len(code) > 0], code[1:] != code[:-1]])[: len(code)])
         self.code, self.first = code[start], order[start]
-        self.n = np.add.reduceat(learn[order], start).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
-        self.of = np.empty(len(code), np.int64)
-        self.of[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(code))))
+        self.n = np.add.reduceat(learn[order], start) if len(start) else np.zeros(0, np.int64)
+        self.of = np.empty(len(code), np.int32 if len(code) < 1 << 31 else np.int64)
+        self.of[order] = np.repeat(np.arange(len(start), dtype=self.of.dtype), np.diff(np.append(start, len(code))))
 
 
 class Sent:
@@ -227,7 +227,7 @@ class Batch:
         self.i2 = self.i2[self.count[self.at[self.i2 - 1]] > 0]
         self.known = np.where(self.count[self.at] > 0, self.at, len(self.vocab)).astype(np.uint64)
         u, v = self.known[self.i2 - 1], self.known[self.i2]
-        self.g2 = g = Grams((u << self.bits) | v, self.learn[self.doc[self.i2]].astype(np.int64))
+        self.g2 = g = Grams((u << self.bits) | v, self.learn[self.doc[self.i2]])
         u, v = (g.code >> self.bits).astype(np.int64), (g.code & ((np.uint64(1) << self.bits) - np.uint64(1))).astype(np.int64)
         key = mixed(self.number[u] ^ _SALTS[2])
         hot = self.count[u] >= self.model.hot
@@ -238,7 +238,7 @@ class Batch:
     def bigram_packets(self):
         s, g = self.s2, self.g2
         r = s.order[s.run]
-        arrays = (self.number[self.u2[r]], s.runs.astype(np.uint32), self.hot2[r].astype(np.uint8)), (self.number[self.v2[s.order]], self.count[self.v2[s.order]].astype(np.uint32), g.n[s.order])
+        arrays = (self.number[self.u2[r]], s.runs.astype(np.uint32), self.hot2[r].astype(np.uint8)), (self.number[self.v2[s.order]], self.count[self.v2[s.order]].astype(np.uint32), g.n[s.order].astype(np.uint32))
         for p, a, b in s.packets():
             yield p, pack(*(x[a] for x in arrays[0]), *(x[b] for x in arrays[1]))
 
@@ -278,7 +278,7 @@ class Batch:
         i = np.flatnonzero(self.later[3])
         self.i3 = i = i[self.c2_at[i - 1] > 0]
         pair, bits = self.g2_at[i - 1].astype(np.uint64), self.bits
-        self.g3 = g = Grams((pair << bits) | self.known[i], self.learn[self.doc[i]].astype(np.int64))
+        self.g3 = g = Grams((pair << bits) | self.known[i], self.learn[self.doc[i]])
         self.ctx3, w = (g.code >> bits).astype(np.int64), (g.code & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         key = mixed(mixed(self.number[self.u2[self.ctx3]] ^ _SALTS[3]) + self.number[self.v2[self.ctx3]] * _ODD)
         hot = self.c2[self.ctx3] >= self.model.hot
@@ -292,7 +292,7 @@ class Batch:
         r = s.order[s.run]
         pair = self.ctx3[r]
         below = self.c2_at[self.i3[g.first]]
-        arrays = (self.number[self.u2[pair]], self.number[self.v2[pair]], s.runs.astype(np.uint32), self.hot3[r].astype(np.uint8)), (self.number[self.w3[s.order]], below[s.order].astype(np.uint32), g.n[s.order])
+        arrays = (self.number[self.u2[pair]], self.number[self.v2[pair]], s.runs.astype(np.uint32), self.hot3[r].astype(np.uint8)), (self.number[self.w3[s.order]], below[s.order].astype(np.uint32), g.n[s.order].astype(np.uint32))
         for p, a, b in s.packets():
             yield p, pack(*(x[a] for x in arrays[0]), *(x[b] for x in arrays[1]))
 
@@ -388,27 +388,29 @@ def _counted(n: int, lower):
 
     def run(batches):
         for part, rows in _groups(batches):
-            asked = [unpack(r[1]) for r in rows]
-            heads = [np.concatenate([a[k] for a in asked]).astype(np.uint64) for k in range(n - 1)]
+            asked = [unpack(r.pop()) for r in rows]
+            sizes = [(len(a[n - 1]), len(a[n + 1])) for a in asked]
+            heads = [np.concatenate([a[k] for a in asked]) for k in range(n - 1)]
             runs, hot, word, below, learned = (np.concatenate([a[k] for a in asked]) for k in range(n - 1, n + 4))
             runs = runs.astype(np.int64)
-            key = mixed(heads[0] ^ _SALTS[n])
+            del asked
+            key = mixed(heads[0].astype(np.uint64) ^ _SALTS[n])
             if n == 3:
-                key = mixed(key + heads[1] * _ODD)
-            ctx, word = np.repeat(key, runs), word.astype(np.uint64)
-            g = Grams(mixed(ctx + word * _ODD), learned.astype(np.int64))
+                key = mixed(key + heads[1].astype(np.uint64) * _ODD)
+            g = Grams(mixed(np.repeat(key, runs) + word.astype(np.uint64) * _ODD), learned)
+            del learned
             count = g.n.astype(np.int64)
-            own = Grams(ctx[g.first], np.zeros(len(count), np.int64))
+            first = np.cumsum(runs) - runs
+            run_of = (np.searchsorted(first, g.first, "right") - 1).astype(np.int32)
+            own = Grams(key[run_of], np.zeros(len(count), np.uint8))
             some = (count > 0) & (count <= K)
-            few = np.bincount(own.of[some] * K + count[some] - 1, minlength=K * len(own.code)).reshape(-1, K)
+            few = np.bincount(own.of[some] * np.int64(K) + count[some] - 1, minlength=K * len(own.code)).reshape(-1, K)
             low = np.bincount(own.of, np.where(count > 0, lower(below[g.first].astype(np.int64)), 0.0), len(own.code))
             spare = ~few.any(1)
-            first = np.cumsum(runs) - runs
             ctx_of_run = own.of[g.of[first]]
-            unseen = np.add.reduceat((count[g.of] == 0).astype(np.int64), first) > 0
+            unseen = np.maximum.reduceat((count == 0)[g.of], first)
             a = i = 0
-            for (batch, _), got in zip(rows, asked):
-                k, m = len(got[n - 1]), len(got[n + 1])
+            for (batch,), (k, m) in zip(rows, sizes):
                 c = ctx_of_run[a : a + k]
                 ask = np.flatnonzero(unseen[a : a + k] & (hot[a : a + k] == 0))
                 yield _row(1, part, batch, pack(count[g.of[i : i + m]].astype(np.uint32), (spare[c] & (hot[a : a + k] == 0)).astype(np.uint8), ask.astype(np.uint32), few[c[ask]].astype(np.uint32).ravel(), low[c[ask]]))
@@ -420,7 +422,7 @@ def _counted(n: int, lower):
             order = own.order[count[own.order] > 0]
             c = own.of[order]
             start = np.flatnonzero(np.concatenate([[len(c) > 0], c[1:] != c[:-1]])[: len(c)])
-            head = np.repeat(np.arange(len(runs)), runs)[g.first[order[start]]]
+            head = run_of[order[start]]
             yield _row(3, part, -1, pack(*(h[head] for h in heads), np.diff(np.append(start, len(c))).astype(np.uint32), word[g.first[order]], count[order].astype(np.uint32)))
 
     return run
