@@ -6,14 +6,17 @@ import argparse
 import os
 import platform
 import shutil
+import signal
 import sys
 import tempfile
+import threading
 import traceback
 from datetime import datetime
 from pathlib import Path
 
 from .functions.bytes import WHITESPACE
 from .functions.sizes import format_size
+from .plans.analyse import FORMATS
 from .plans.merge import SIZES, MergeOptions
 
 NAME = "linemill"
@@ -40,10 +43,14 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--whitespace-chars", nargs="*", default=[], type=lambda x: int(x, 0))
     m.add_argument("--include-by-regex")
     m.add_argument("--exclude-by-regex")
-    m.add_argument("--parts", action="store_true", help="leave the output a folder of ordered parts")
+    kind = m.add_mutually_exclusive_group()
+    kind.add_argument("--parts", action="store_true", help="leave the output a folder of ordered parts")
+    kind.add_argument("--one-file", action="store_true", help="one file whatever its size")
     a = verbs.add_parser("analyse", aliases=["analyze"], parents=[common], help="profile files")
     a.add_argument("-i", "--input", nargs="+", action="extend", default=[], dest="inputs")
     a.add_argument("-e", "--file-ending", default=".Analysis.txt")
+    a.add_argument("--format", default="text", choices=["text", *FORMATS], help="text: a report beside each file; else tables of all files below --output")
+    a.add_argument("-o", "--output")
     a.add_argument("-t", "--temp-folder")
     a.add_argument("-w", "--workers", type=int, default=0)
     for name in ("large-threshold", "large-chunk", "line-buffer-size", "read-file-buffer-size"):
@@ -91,6 +98,30 @@ def session():
     return SparkSession.builder.appName(NAME).getOrCreate()
 
 
+def cancellable(run):
+    """run(spark) as one job group; the first Ctrl-C cancels its jobs, which ends the run with an error after temporary files are gone."""
+    spark = session()
+    sc = spark.sparkContext
+    sc.setJobGroup(NAME, NAME, interruptOnCancel=True)
+    stopped = []
+
+    def stop(*_):
+        signal.signal(signal.SIGINT, signal.default_int_handler)  # a second one ends at once
+        stopped.append(True)
+        threading.Thread(target=sc.cancelJobGroup, args=(NAME,)).start()  # this thread's connection waits for the job
+
+    before = signal.signal(signal.SIGINT, stop) if threading.current_thread() is threading.main_thread() else None
+    try:
+        return run(spark)
+    except Exception as e:
+        if stopped:
+            raise RuntimeError("cancelled") from e
+        raise
+    finally:
+        if before is not None:
+            signal.signal(signal.SIGINT, before)
+
+
 def dispatch(args: argparse.Namespace) -> int:
     if args.verb == "about":
         print(f"{NAME}: sorted merges and profiles of text lines as Spark plans")
@@ -107,19 +138,20 @@ def dispatch(args: argparse.Namespace) -> int:
 
         values = vars(args)
         chars = bytes(values.pop("whitespace_chars")) or WHITESPACE
-        options = MergeOptions(**{k: v for k, v in values.items() if k not in ("verb", "debug", "parts")}, whitespace_chars=chars, single_file=not args.parts)
-        if found := options.errors():
+        options = MergeOptions(**{k: v for k, v in values.items() if k not in ("verb", "debug", "parts", "one_file")}, whitespace_chars=chars, single_file=False if args.parts else True if args.one_file else None)
+        if found := options.errors() or (options.include_by_regex or options.exclude_by_regex) and options.errors(session()):
             print("\n".join(found), file=sys.stderr)
             return 1
-        for k, v in run_merge(session(), options).items():
+        for k, v in cancellable(lambda spark: run_merge(spark, options)).items():
             print(f"{k}: {v}")
     else:
-        from .plans.analyse import write_reports
+        from .plans.analyse import write_reports, write_tables
 
-        if not args.inputs:
-            print("inputs are required", file=sys.stderr)
+        if not args.inputs or (args.format != "text" and not args.output):
+            print("inputs are required, and an output for tables", file=sys.stderr)
             return 1
-        for path in write_reports(session(), args.inputs, args.file_ending, decode_hex=args.decode_hex, exact=args.exact):
+        how = {"ending": args.file_ending, "decode_hex": args.decode_hex, "exact": args.exact}
+        for path in cancellable(lambda spark: write_reports(spark, args.inputs, **how) if args.format == "text" else write_tables(spark, args.inputs, args.output, args.format, **how)):
             print(path)
     return 0
 

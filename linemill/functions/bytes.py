@@ -20,11 +20,6 @@ def from_latin1(text: Column) -> Column:
     return F.encode(text, "ISO-8859-1")
 
 
-def _set(chars: bytes) -> str:
-    """A character class of these bytes."""
-    return "[" + "".join(f"\\x{b:02x}" for b in chars) + "]"
-
-
 def to_dollar_hex(c: Column) -> Column:
     """Latin-1 text in, text out: lines with a byte outside 0x20-0x7e become $HEX[lower-case hex]."""
     return F.when(c.rlike("[^\\x20-\\x7e]"), F.concat(F.lit("$HEX["), F.lower(F.hex(from_latin1(c))), F.lit("]"))).otherwise(c)
@@ -32,13 +27,12 @@ def to_dollar_hex(c: Column) -> Column:
 
 def from_dollar_hex(c: Column) -> Column:
     """The inverse; anything that is no whole $HEX[...] stays."""
-    inner = F.regexp_extract(c, r"^\$HEX\[((?:[0-9A-Fa-f]{2})*)\]$", 1)
-    return F.when(c.rlike(r"^\$HEX\[(?:[0-9A-Fa-f]{2})*\]$"), latin1(F.unhex(inner))).otherwise(c)
+    inner = F.regexp_extract(c, r"\A\$HEX\[((?:[0-9A-Fa-f]{2})*)\]\z", 1)
+    return F.when(c.rlike(r"\A\$HEX\[(?:[0-9A-Fa-f]{2})*\]\z"), latin1(F.unhex(inner))).otherwise(c)
 
 
 def trim(c: Column, chars: bytes = WHITESPACE) -> Column:
-    s = _set(chars)
-    return F.regexp_replace(c, f"^{s}+|{s}+\\z", "")
+    return F.btrim(c, F.lit(chars.decode("latin-1")))
 
 
 def strip(c: Column, chars: bytes = WHITESPACE) -> Column:

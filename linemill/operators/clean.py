@@ -39,12 +39,16 @@ def cleaned_text(c: Column, how: Cleaning) -> Column:
     return c if how.keep_nulls else strip_nulls(c)
 
 
+#: Flags before a pattern: a dot is any byte, only LF is a line end, classes such as \\w and \\s have letters and spaces beyond ASCII.
+DIALECT = "(?sdU)"
+
+
 def _stays(c: Column, how: Cleaning) -> Column:
     stay = F.lit(True)
     if how.include:
-        stay = stay & c.rlike("(?s)" + how.include)
+        stay = stay & c.rlike(DIALECT + how.include)
     if how.exclude:
-        stay = stay & ~c.rlike("(?s)" + how.exclude)
+        stay = stay & ~c.rlike(DIALECT + how.exclude)
     return stay
 
 
@@ -59,6 +63,7 @@ def counted(lines: DataFrame, how: Cleaning) -> DataFrame:
     out = out.withColumn("_clean", F.col("_spaced") if how.keep_nulls else strip_nulls(F.col("_spaced")))
     blank = F.length("_clean") == 0
     drop_blank = F.lit(False) if how.keep_blanks else blank
+    out = out.withColumn("_stays", _stays(F.col("_clean"), how))  # a column of its own, so that the pattern runs once
     return out.withColumns({
         "skipped": F.col("_long"),
         "hexed": ~F.col("_long") & (F.col("_hexed") != F.col("_c")),
@@ -66,8 +71,8 @@ def counted(lines: DataFrame, how: Cleaning) -> DataFrame:
         "stripped": F.lit(how.whitespace == "strip") & ~F.col("_long") & (F.col("_spaced") != F.col("_hexed")),
         "nulls": F.lit(not how.keep_nulls) & ~F.col("_long") & (F.col("_clean") != F.col("_spaced")),
         "blank": ~F.col("_long") & blank,
-        "filtered": ~F.col("_long") & ~drop_blank & ~_stays(F.col("_clean"), how),
-        "keep": ~F.col("_long") & ~drop_blank & _stays(F.col("_clean"), how),
+        "filtered": ~F.col("_long") & ~drop_blank & ~F.col("_stays"),
+        "keep": ~F.col("_long") & ~drop_blank & F.col("_stays"),
     })
 
 

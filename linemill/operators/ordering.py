@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 ORDERS = ("dictionary", "length")
 
 
@@ -26,19 +28,46 @@ def duplicates(lines: DataFrame, order: str = "dictionary") -> DataFrame:
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(*order_keys(order))
 
 
+#: Copies of a line that one row stands for at most, where copies are spread over tasks.
+COPIES = 1 << 16
+
+
+def in_blocks(lines: DataFrame, copies: str) -> DataFrame:
+    """Rows with their number of copies -> rows of COPIES copies at most, with `_block` (from 0)."""
+    last = F.expr(f"cast((`{copies}` - 1) div {COPIES} as int)")
+    return lines.withColumn("_block", F.explode(F.sequence(F.lit(0), last))).withColumn(copies, F.least(F.lit(COPIES), F.col(copies) - F.col("_block") * COPIES))
+
+
 def ranked(lines: DataFrame, order: str = "dictionary") -> DataFrame:
-    """Adds rank, 1 for the first line of the order, without a window over all rows.
+    """Adds rank, 1 for the first line of the order; equal lines have consecutive ranks, in any order. No window holds all rows.
 
-    Range partitions in order; a row's rank is its place in the partition plus the rows of the partitions before, of
-    which there is one number each.
+    Equal rows travel as one with their number. Distinct lines are range-partitioned once, into a table, so that places within a partition
+    and the numbers of rows before it (one for each partition) come from the same ranges. A line's rows with other columns share
+    its ranks by slots of a hash of these, so a line of any number of rows is no task of its own; copies are spread in blocks.
     """
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = order_keys(order)
-    placed = lines.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.select(*lines.columns, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row"))
+    spark = lines.sparkSession
+    parts, slots = int(spark.conf.get("spark.sql.shuffle.partitions")), 64
+    keys, names = order_keys(order), {c: f"_c{i}" for i, c in enumerate(c for c in lines.columns if c != "line")}
+    others = list(names.values())
+    rows = lines.select("line", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]).groupBy("line", *others).agg(F.count(F.lit(1)).alias("_n"))
+    if others:
+        rows = saved(rows.withColumn("_slot", F.pmod(F.xxhash64(*others), F.lit(slots))), "rows")
+        shares = rows.groupBy("line", "_slot").agg(F.sum("_n").alias("_n"))
+    distinct = shares.groupBy("line").agg(F.sum("_n").alias("_n")) if others else rows
+    placed = saved(distinct.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(starts), "_part").select(*lines.columns, (F.col("_row") + F.col("_before") + 1).alias("rank"))
+    starts = placed.groupBy("_part").agg(F.sum("_n").alias("_all")).select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("_first", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(starts), "_part").withColumn("_first", F.col("_first") + F.col("_start")).select("line", "_n", "_first")
+    if others:
+        slot = Window.partitionBy("line").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        shares = shares.withColumn("_skip", F.coalesce(F.sum("_n").over(slot), F.lit(0))).join(out.drop("_n"), "line").select("line", "_slot", (F.col("_first") + F.col("_skip")).alias("_first"))
+        own = Window.partitionBy("line", "_slot").orderBy(*others).rowsBetween(Window.unboundedPreceding, -1)
+        out = rows.withColumn("_skip", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(shares, ["line", "_slot"]).withColumn("_first", F.col("_first") + F.col("_skip"))
+    many = in_blocks(out.filter(F.col("_n") > COPIES), "_n").withColumn("_first", F.col("_first") + F.col("_block") * COPIES).drop("_block").repartition(parts, "line", "_first")
+    out = out.filter(F.col("_n") <= COPIES).unionByName(many.select(*out.columns))
+    out = out.select("line", *others, F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_n"))).alias("rank"))
+    return out.select(*[F.col("line" if c == "line" else names[c]).alias(c) for c in lines.columns], "rank")
 
 
 def is_sorted(lines: DataFrame, position: str, order: str = "dictionary") -> DataFrame:

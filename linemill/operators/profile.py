@@ -30,7 +30,9 @@ def length_histogram(m: DataFrame, *by: str, dense: bool = False) -> DataFrame:
     out = m.groupBy(*by, "length").agg(F.sum("n").alias("n"))
     if not dense:
         return out
-    every = out.groupBy(*by).agg(F.max("length").alias("_top")).select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"))).alias("length"))
+    step = F.lit(1 << 16).cast("long")  # in blocks, so that no row has more lengths than that
+    every = out.groupBy(*by).agg(F.max("length").alias("_top")).select(*by, "_top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"), step)).alias("_from"))
+    every = every.select(*by, F.explode(F.sequence(F.col("_from"), F.least(F.col("_top"), F.col("_from") + step - 1))).alias("length"))
     return every.join(out, [*by, "length"], "left").select(*by, "length", F.coalesce("n", F.lit(0)).alias("n"))
 
 

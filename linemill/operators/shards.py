@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +19,19 @@ def shard_histogram(lines: DataFrame, depth: int = 1) -> DataFrame:
 def chunk_plan(shards: DataFrame, max_bytes: int, max_lines: int = 2**31 - 1) -> DataFrame:
     """Adds chunk, from 0: shards in order share a chunk until their bytes or lines would pass a maximum.
 
-    A fold over one row for each prefix: at most a few thousand, whatever the data's size.
+    A fold over one row for each prefix, in order and in one task, which holds three numbers; the rows are prefixes, however many lines they have.
     """
-    rows = F.array_sort(F.collect_list(F.struct("shard", "lines", "bytes")))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<shard:string,lines:bigint,bytes:bigint,chunk:int>>").alias("out"))
 
-    def step(acc, x):
-        full = (acc["n"] > 0) & ((acc["b"] + x["bytes"] > max_bytes) | (acc["n"] + x["lines"] > max_lines))
-        chunk = acc["chunk"] + full.cast("int")
-        row = F.struct(x["shard"].alias("shard"), x["lines"].alias("lines"), x["bytes"].alias("bytes"), chunk.alias("chunk"))
-        return F.struct(chunk.alias("chunk"), (F.when(full, 0).otherwise(acc["b"]) + x["bytes"]).alias("b"), (F.when(full, 0).otherwise(acc["n"]) + x["lines"]).alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return shards.agg(F.aggregate(rows, start, step)["out"].alias("out")).select(F.inline("out"))
+    def fold(batches):
+        chunk = held_bytes = held_lines = 0
+        for b in batches:
+            out = []
+            for lines, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if held_lines and (held_bytes + size > max_bytes or held_lines + lines > max_lines):
+                    chunk, held_bytes, held_lines = chunk + 1, 0, 0
+                held_bytes, held_lines = held_bytes + size, held_lines + lines
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], ["shard", "lines", "bytes", "chunk"])
+
+    rows = shards.select("shard", F.col("lines").cast("long").alias("lines"), F.col("bytes").cast("long").alias("bytes"))
+    return rows.repartition(1).sortWithinPartitions("shard").mapInArrow(fold, "shard string, lines long, bytes long, chunk int")

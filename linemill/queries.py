@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from .operators import profile
 from .operators.clean import Cleaning, clean
 from .operators.ordering import duplicates, is_sorted, ranked
 from .operators.shards import chunk_plan, shard_histogram
-from .plans.merge import MergeOptions, merge_stats
+from .plans.analyse import write_reports
+from .plans.merge import MergeOptions, merge_stats, run_merge
 from .sources.lines import column_lines, union_lines
+from .sources.sinks import write_text
+from .storage import table_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,7 +201,89 @@ def name_lines(spark, sf_dir):
     return _text(ranked(clean(union_lines(*parts), Cleaning()).distinct(), "length"))
 
 
-QUERIES = {f.__name__: f for f in (lines_scan, merge_dictionary, merge_length, merge_leave_duplicates, merge_save_duplicates, dollar_hex, trim_whitespace, strip_whitespace, strip_chars, strip_nulls, keep_nulls, keep_blanks, drop_blanks, include_regex, exclude_regex, skip_long_lines, multi_source_merge, shard_histogram_1, shard_histogram_2, shard_key_40, chunk_plan_64k, length_histogram, category_any, category_full, charset_friendly, profile_summary, merge_counters, pipeline_all, hex_round_trip, sorted_flag, top_lines, page_lines, name_lines)}
+def ranked_with_source(spark, sf_dir):
+    """Ranks of all lines with their documents: for each line its first and last rank, how many it has, and the sum of its documents' ids."""
+    out = ranked(_lines(spark, sf_dir, "doc_id"))
+    return _text(out.groupBy("line").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count_distinct("rank").alias("ranks"), F.sum("doc_id").alias("ids")))
+
+
+def clean_counters(spark, sf_dir):
+    """Every counter of a cleaning pass that uses all of its steps."""
+    lines = _with_nulls(spark, sf_dir).unionByName(_spaced(spark, sf_dir))
+    options = MergeOptions(whitespace="strip", convert_to_dollar_hex=True, exclude_by_regex="[0-9]{2}", line_buffer_size=1024, leave_duplicates=True)
+    return merge_stats(lines, options).select("lines_read", "skipped", "hexed", "stripped", "nulls", "blank", "filtered", "lines_kept", "lines_written")
+
+
+def _files(spark, sf_dir) -> str:
+    """A folder with the texts of documents as files of lines: LF in en ones, CR LF in de ones, CR in others; NUL bytes for q; and an empty file."""
+    folder = table_path(spark, "texts")
+    docs = _table(spark, sf_dir, "documents").filter("text is not null")
+    end = F.when(F.col("lang") == "en", F.lit("\n")).when(F.col("lang") == "de", F.lit("\r\n")).otherwise(F.lit("\r"))
+    text = F.replace(F.replace("text", F.lit("\n"), end), F.lit("q"), F.lit("\x00"))
+    docs.select(text.alias("value")).write.text(f"{folder}/a")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{folder}/b")
+    write_text(spark, f"{folder}/b/empty.txt", "")
+    return folder
+
+
+def _read_back(spark, path: str, order: str = "dictionary"):
+    """A written file's lines, each with whether the whole file is in order."""
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("line"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    flag = is_sorted(lines, "at", order)
+    return _text(lines.select("line")).join(F.broadcast(flag), F.lit(True))  # one row
+
+
+def _merged_files(spark, sf_dir, order="dictionary", **options):
+    out = table_path(spark, "merged") + ".txt"
+    run_merge(spark, MergeOptions([_files(spark, sf_dir)], out, sort_by=order, line_buffer_size=options.pop("line_buffer_size", 64 * 1024), **options))
+    return out
+
+
+def merge_files_dictionary(spark, sf_dir):
+    return _read_back(spark, _merged_files(spark, sf_dir))
+
+
+def merge_files_length(spark, sf_dir):
+    return _read_back(spark, _merged_files(spark, sf_dir, "length", exact=True), "length")
+
+
+def merge_files_leave(spark, sf_dir):
+    out = _read_back(spark, _merged_files(spark, sf_dir, leave_duplicates=True, single_file=True))
+    return out.groupBy("line", "is_sorted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_files_duplicates(spark, sf_dir):
+    return _read_back(spark, _merged_files(spark, sf_dir, save_duplicates=True) + ".duplicates")
+
+
+def merge_files_skip(spark, sf_dir):
+    """Lines of 1,024 bytes or more are passed over by the exact reader, which never holds them whole."""
+    return _read_back(spark, _merged_files(spark, sf_dir, exact=True, line_buffer_size=1024))
+
+
+def merge_files_stats(spark, sf_dir):
+    out = spark.read.text(_merged_files(spark, sf_dir, save_stats=True) + ".stats")
+    row = F.from_json("value", "lines_read long, nulls long, blank long, lines_kept long, lines_written long, bytes_written long, duplicates long")
+    return out.filter("value like '{%'").select(row.alias("s")).select("s.*")
+
+
+def _analysed(spark, sf_dir):
+    """Reports of one file for each language, read back: file (its language) and the report's lines."""
+    folder = table_path(spark, "texts")
+    _lines(spark, sf_dir, "lang").filter("lang is not null").select("lang", F.col("line").cast("string").alias("value")).repartition("lang").write.partitionBy("lang").text(folder)
+    write_reports(spark, [re.sub("^file:/+", "/", folder)] if folder.startswith("file:") or "://" not in folder else [folder])
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.Analysis.txt").text(folder)
+    return found.select(F.regexp_extract(F.col("_metadata.file_path"), "lang=([^/]+)/", 1).alias("lang"), "value")
+
+
+def analyse_files(spark, sf_dir):
+    """Total lines and counts by class and charset, out of the text reports of files."""
+    at = F.regexp_extract("value", r"^([A-Za-z][A-Za-z ]*): ([0-9,]+)( \(|$)", 1)
+    n = F.replace(F.regexp_extract("value", r"^([A-Za-z][A-Za-z ]*): ([0-9,]+)( \(|$)", 2), F.lit(",")).try_cast("long")
+    return _analysed(spark, sf_dir).select("lang", at.alias("name"), n.alias("n")).filter("name <> '' and n is not null").distinct()
+
+
+QUERIES = {f.__name__: f for f in (lines_scan, merge_dictionary, merge_length, merge_leave_duplicates, merge_save_duplicates, dollar_hex, trim_whitespace, strip_whitespace, strip_chars, strip_nulls, keep_nulls, keep_blanks, drop_blanks, include_regex, exclude_regex, skip_long_lines, multi_source_merge, shard_histogram_1, shard_histogram_2, shard_key_40, chunk_plan_64k, length_histogram, category_any, category_full, charset_friendly, profile_summary, merge_counters, pipeline_all, hex_round_trip, sorted_flag, top_lines, page_lines, name_lines, ranked_with_source, clean_counters, merge_files_dictionary, merge_files_length, merge_files_leave, merge_files_duplicates, merge_files_skip, merge_files_stats, analyse_files)}
 
 _SPLIT = r"unnest(regexp_split_to_array({}, '[\r\n]+'))"
 _LN = f"(select doc_id, lang, source, line from (select doc_id, lang, source, {_SPLIT.format('text')} as line from documents) where line <> '')"
@@ -213,6 +300,8 @@ _CLASSES = "(values (1, 'UppercaseLetter'), (2, 'LowercaseLetter'), (4, 'Number'
 _TOTALS = "(select source, count(*) as total from m group by 1)"
 _CHARSET = """case when mask = 0 then 'Empty' else (case when mask & 3 = 3 then 'Mixed' when mask & 1 <> 0 then 'Upper' when mask & 2 <> 0 then 'Lower' else '' end) || (case when mask & 4 <> 0 then 'Number' else '' end)
 || (case when mask & 24 <> 0 then 'Symbol' else '' end) || (case when mask & 32 <> 0 then 'Special' else '' end) || (case when mask & 64 <> 0 then 'Extended' else '' end) end"""
+_NAMES = f"coalesce((select string_agg(name, ', ' order by bit) from {_CLASSES} where mask & bit <> 0), 'Empty')"
+_FILES = "(select line as raw, replace(line, chr(0), '') as line from (select unnest(string_split(replace(text, 'q', chr(0)), chr(10))) as line from documents))"
 _SHARD = "lower(substr(hex(encode(line)), 1, 2))"
 
 ORACLE_SQL = {
@@ -261,5 +350,25 @@ where line <> '' and not regexp_matches(line, '[0-9]{{3,}}'))""",
 k as (select line, lag(line) over (order by doc_id, i) as p from l) select coalesce(bool_and(p <= line), true) as is_sorted from k where p is not null""",
     "top_lines": f"select line from (select distinct line from {_LN}) order by strlen(line), line limit 20",
     "page_lines": f"select distinct line from (select trim(line, {_WS}) as line from (select {_SPLIT.format('html')} as line from pages)) where line <> ''",
+    "ranked_with_source": f"""select line, min(rank) as first, max(rank) as last, count(distinct rank) as ranks, sum(doc_id)::bigint as ids
+from (select line, doc_id, row_number() over (order by line) as rank from {_LN}) group by 1""",
+    "clean_counters": f"""with l as (select replace(line, 'e', chr(0)) as line from {_LN} union all select line from {_SPACED}), s as (select *, strlen(line) > 1023 as long from l),
+h as (select *, {_HEX} as h from s), t as (select *, translate(h, {_WS}, '') as t from h), n as (select *, replace(t, chr(0), '') as c from t), f as (select *, regexp_matches(c, '[0-9]{{2}}') as bad from n)
+select count(*) as lines_read, count(*) filter (where long) as skipped, count(*) filter (where not long and h <> line) as hexed, count(*) filter (where not long and t <> h) as stripped,
+count(*) filter (where not long and c <> t) as nulls, count(*) filter (where not long and c = '') as blank, count(*) filter (where not long and c <> '' and bad) as filtered,
+count(*) filter (where not long and c <> '' and not bad) as lines_kept, count(*) filter (where not long and c <> '' and not bad) as lines_written from f""",
+    "merge_files_dictionary": f"select distinct line, true as is_sorted from {_FILES} where line <> '' and strlen(raw) < 65536",
+    "merge_files_length": f"select distinct line, true as is_sorted from {_FILES} where line <> '' and strlen(raw) < 65536",
+    "merge_files_leave": f"select line, true as is_sorted, count(*) as n from {_FILES} where line <> '' and strlen(raw) < 65536 group by 1",
+    "merge_files_duplicates": f"select line, true as is_sorted from {_FILES} where line <> '' and strlen(raw) < 65536 group by 1 having count(*) > 1",
+    "merge_files_skip": f"select distinct line, true as is_sorted from {_FILES} where line <> '' and strlen(raw) < 1024",
+    "merge_files_stats": f"""with f as (select * from {_FILES}), k as (select line from f where line <> '' and strlen(raw) < 65536)
+select (select count(*) from f) as lines_read, (select count(*) from f where strlen(raw) < 65536 and line <> raw) as nulls, (select count(*) from f where line = '') as blank,
+(select count(*) from k) as lines_kept, (select count(distinct line) from k) as lines_written, (select sum(strlen(line) + 1)::bigint from (select distinct line from k)) as bytes_written,
+(select count(*) - count(distinct line) from k) as duplicates""",
+    "analyse_files": f"""with m as (select lang, {_MASK} as mask from {_LN} where lang is not null),
+k as (select lang, name, sum(case when mask & bit <> 0 then 1 else 0 end)::bigint as n from m, {_CLASSES} group by all)
+select lang, 'Total Lines' as name, count(*) as n from m group by 1 union select lang, name, n from k union select lang, {_CHARSET} as name, count(*) as n from m group by all
+union select lang, {_NAMES}, count(*) from m group by lang, mask having bit_count(mask) < 2""",
     "name_lines": "select line, row_number() over (order by strlen(line), line) as rank from (select c_name as line from customer union select p_name from part union select n_name from nation union select event_type from events) where line <> ''",
 }

@@ -9,14 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def gather(paths: Iterable[str], excluded_endings: Iterable[str] = ()) -> list[str]:
-    """Local paths to files: a folder gives all below it, a missing path nothing; endings compare without case.
-
-    Paths of other file systems (with ://) pass through: Spark lists those itself.
+def _remote(spark: SparkSession, path: str) -> list[str]:
+    """All files at or below a path of any file system that Spark knows; a missing one gives nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(p):
+        return []
+    found, out = fs.listFiles(p, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return sorted(out)
+
+
+def gather(paths: Iterable[str], excluded_endings: Iterable[str] = (), spark: SparkSession | None = None) -> list[str]:
+    """Paths to files: a folder gives all below it, a missing path nothing; endings compare without case.
+
+    Paths of other file systems (with ://) are listed by the session; without one they pass through, and Spark lists them.
     """
     endings, out = tuple(e.lower() for e in excluded_endings), []
     for path in paths:
-        if "://" in path or os.path.isfile(path):
+        if "://" in path:
+            out += _remote(spark, path) if spark else [path]
+        elif os.path.isfile(path):
             out.append(path)
         else:
             out += sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names)
@@ -27,14 +41,14 @@ def empty_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "line binary, path string")
 
 
-def read_lines(spark: SparkSession, paths: Iterable[str], excluded_endings: Iterable[str] = (), exact: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: Iterable[str], excluded_endings: Iterable[str] = (), exact: bool = False, longest: int | None = None) -> DataFrame:
     """line and path of every line of the files; CR, LF and CRLF end lines.
 
     exact: every byte of every file, through the data source in raw.py; else Spark's text source, which
     drops a leading UTF-8 byte-order mark, unpacks .gz and passes over names that begin with _ or a dot.
-    Files that are named twice are read twice.
+    Files that are named twice are read twice. longest: bytes of a line that matter; of longer ones the exact source may return the first longest + 1 only.
     """
-    files = gather(paths, excluded_endings)
+    files = gather(paths, excluded_endings, spark if exact else None)
     if not files:
         return empty_lines(spark)
     if exact:
@@ -43,7 +57,7 @@ def read_lines(spark: SparkSession, paths: Iterable[str], excluded_endings: Iter
         spark.dataSource.register(RawLines)
         out = None
         for part in _without_repeats(files):
-            got = spark.read.format("raw_lines").option("paths", "\n".join(part)).load()
+            got = spark.read.format("raw_lines").option("paths", "\n".join(part)).option("longest", str(longest or 0)).load()
             out = got if out is None else out.unionByName(got)
         return out
     text = spark.read.option("recursiveFileLookup", True).text(files)
