@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +39,25 @@ def delete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """What runs inside leaves no shuffle files behind: once a table is written, nothing reads its plan's exchanges again."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._linemill_path = path
     return out
@@ -51,7 +67,8 @@ def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
     """saved() as a table in buckets by a column: joins on it move only the other side."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     table = "linemill_" + uuid.uuid4().hex
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
+    with _shuffles_go(spark):
+        df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
     out = spark.table(table)
     out._linemill_path, out._linemill_table = path, table
     return out
