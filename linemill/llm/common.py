@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,60 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import bucketed, dropped, saved, table_path  # noqa: F401  for the operators
+
 _ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it is unset, a folder of this machine's.
-
-    A cluster without that setting has no folder that all of its machines see, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="linemill-checkpoints-")
-        atexit.register(shutil.rmtree, _LOCAL[app], True)
-    return _LOCAL[app]
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/linemill/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here and survives lost executors."""
-    spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._linemill_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables from saved() or bucketed() that nothing reads any more."""
-    for df in tables:
-        path, spark = getattr(df, "_linemill_path", None), df.sparkSession
-        if path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-        if getattr(df, "_linemill_table", None):
-            spark.sql(f"drop table if exists {df._linemill_table}")
-
-
-def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
-    """saved() as a table in buckets by a column: joins on it move only the other side."""
-    spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    table = "linemill_" + uuid.uuid4().hex
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(table)
-    out = spark.table(table)
-    out._linemill_path, out._linemill_table = path, table
-    return out
 
 
 def shipped(spark: SparkSession) -> None:

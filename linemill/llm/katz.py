@@ -488,7 +488,6 @@ def katz_scores(docs: DataFrame, learn_from, batch_bytes: int = BATCH, range_tok
     a2 = counted(2, _counted(2, model.uni.p), a1)
     model.d2, model.spread[2] = discounts(_stats(a2, K + 1)), _spread(a2)
     d2 = model.d2
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffles that are done with
     a3 = counted(3, _counted(3, lambda c: d2[np.minimum(c, K + 1)] * c), a1, a2)
     model.d3, model.spread[3] = discounts(_stats(a3, K + 1)), _spread(a3)
     out = mapped(met(a1, a2, a3), _scored(spark.sparkContext.broadcast(model)), "doc_id long, n_tokens long, n_known long, base_score double, score double", 1)
