@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import blank, bucketed, mapped, mixed, saved, shuffle_parts
 
-BATCH, RANGE = 6 << 20, 2 << 20
+BATCH, RANGE = 8 << 20, 2 << 20
 K = 5
 END = b" "  # no word
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +67,17 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def once(a: np.ndarray) -> np.ndarray:
+    """Positive numbers, with zeros for those that are the same as the one before: these pack best. filled() undoes it."""
+    out = a.copy()
+    out[1:][a[1:] == a[:-1]] = 0
+    return out
+
+
+def filled(a: np.ndarray) -> np.ndarray:
+    return a[np.maximum.accumulate(np.where(a > 0, np.arange(len(a)), 0))]
+
+
 def discounts(n: list[int], k: int = K) -> np.ndarray:
     """Good-Turing discounts d[r] of counts r = 0..k+1 (d[k+1], for all beyond, is 1); n[r-1]: how many things have count r.
 
@@ -114,7 +125,7 @@ _ROW = "kind int, part int, batch long, payload binary, stats array<bigint>"
 
 
 def placed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: hashes of their words, one for each distinct word; tokens as places in these; tokens of each text. Arrow splits and tells apart."""
+    """Of texts: hashes of their words, one for each distinct word, frequent ones first; tokens as places in these; tokens of each text. Arrow splits and tells apart."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = words.values.dictionary_encode()
     place, vocab = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
@@ -124,7 +135,11 @@ def placed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place, doc = place[real], doc[real]
     at = np.full(len(place) + len(texts), len(vocab), np.uint32)
     at[np.arange(len(place)) + doc] = place
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, [*vocab, END])), ">u8").astype(np.uint64), at, np.bincount(doc, minlength=len(texts)) + 1
+    order = np.argsort(-np.bincount(at, minlength=len(vocab) + 1), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, [*vocab, END])), ">u8").astype(np.uint64)
+    return hashes[order], rank[at], np.bincount(doc, minlength=len(texts)) + 1
 
 
 def _batches(limit: int):
@@ -291,10 +306,10 @@ class Batch:
         s, g = self.s3, self.g3
         r = s.order[s.run]
         pair = self.ctx3[r]
-        below = self.c2_at[self.i3[g.first]]
+        below = np.where(g.n > 0, self.c2_at[self.i3[g.first]], 0)  # of unseen ones it is not asked
         arrays = (self.number[self.u2[pair]], self.number[self.v2[pair]], s.runs.astype(np.uint32), self.hot3[r].astype(np.uint8)), (self.number[self.w3[s.order]], below[s.order].astype(np.uint32), g.n[s.order].astype(np.uint32))
         for p, a, b in s.packets():
-            yield p, pack(*(x[a] for x in arrays[0]), *(x[b] for x in arrays[1]))
+            yield p, pack(once(arrays[0][0][a]), *(x[a] for x in arrays[0][1:]), *(x[b] for x in arrays[1]))
 
     def scored(self):
         """doc_id, tokens, known tokens, base score and score of each text."""
@@ -391,6 +406,7 @@ def _counted(n: int, lower):
             asked = [unpack(r.pop()) for r in rows]
             sizes = [(len(a[n - 1]), len(a[n + 1])) for a in asked]
             heads = [np.concatenate([a[k] for a in asked]) for k in range(n - 1)]
+            heads[0] = filled(heads[0])
             runs, hot, word, below, learned = (np.concatenate([a[k] for a in asked]) for k in range(n - 1, n + 4))
             runs = runs.astype(np.int64)
             del asked
@@ -419,11 +435,14 @@ def _counted(n: int, lower):
             spread = np.unique(ctx_of_run[hot > 0])
             if len(spread):
                 yield _row(4, part, -1, pack(own.code[spread], few[spread].astype(np.uint32).ravel(), low[spread]))
-            order = own.order[count[own.order] > 0]
+            order = own.order[count[own.order] > 0]  # by context; contexts then by the numbers of their words, which packs best
             c = own.of[order]
             start = np.flatnonzero(np.concatenate([[len(c) > 0], c[1:] != c[:-1]])[: len(c)])
-            head = run_of[order[start]]
-            yield _row(3, part, -1, pack(*(h[head] for h in heads), np.diff(np.append(start, len(c))).astype(np.uint32), word[g.first[order]], count[order].astype(np.uint32)))
+            head, size = run_of[order[start]], np.diff(np.append(start, len(c)))
+            by = np.lexsort([h[head] for h in heads[::-1]]) if max(h.max(initial=0) for h in heads) >= 1 << 32 else np.argsort(sum(h[head].astype(np.uint64) << np.uint64(32 * (n - 2 - k)) for k, h in enumerate(heads)))
+            order = order[np.repeat(start[by] - (np.cumsum(size[by]) - size[by]), size[by]) + np.arange(len(order))]
+            head = head[by]
+            yield _row(3, part, -1, pack(once(heads[0][head]), *(h[head] for h in heads[1:]), size[by].astype(np.uint32), word[g.first[order]], count[order].astype(np.uint32)))
 
     return run
 
@@ -457,7 +476,7 @@ def _spread(table: DataFrame):
 def katz_scores(docs: DataFrame, learn_from, batch_bytes: int = BATCH, range_tokens: int = RANGE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every text; the model learns where learn_from (on doc_id) holds.
 
-    The result's `tables` are the model: unigrams, bigrams and trigrams, as packed rows by part (kind 3 of _counted_words and _counted).
+    The result's `tables` are the model: unigrams, bigrams and trigrams, as packed rows by part (kind 3 of _counted_words and _counted; the first array by once()).
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn_from, F.lit(False)).alias("learn"), blank().alias("text"))
