@@ -9,8 +9,9 @@ from pathlib import Path
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..storage import bucketed, dropped, saved, table_path  # noqa: F401  for the operators
 
@@ -42,9 +43,34 @@ def _sliced(fn, rows: int):
 
 
 def mapped(df: DataFrame, fn, schema, batch: int = 2000) -> DataFrame:
-    """mapInArrow with batches of so many rows at most; Spark bounds their bytes. No setting of the session changes."""
+    """mapInArrow with batches of so many rows at most; Spark bounds their bytes. No setting of the session changes.
+
+    Where names of df hold dots, which mapInArrow cannot find, fn sees others in their place; schema is then a StructType.
+    """
     shipped(df.sparkSession)
-    return df.mapInArrow(_sliced(fn, batch), schema)
+    fn = _sliced(fn, batch)
+    if not any(c in name for name in df.columns for c in ".`"):
+        return df.mapInArrow(fn, schema)
+    plain = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    inner = StructType([StructField(plain.get(f.name, f.name), f.dataType) for f in schema.fields])
+    return df.toDF(*plain.values()).mapInArrow(fn, inner).toDF(*schema.names)
+
+
+def hidden(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def all_of(df: DataFrame, *without: str) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns if c not in without]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def blank(text: str = "text"):

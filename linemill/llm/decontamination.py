@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, blank, mapped, mixed, words_of
+from .common import HASHES, all_of, blank, hidden, mapped, mixed, words_of
 
 #: Places looked at (1) and ignored (0), in words.
 MASKS = ("111101111", "11011011", "1101011")
@@ -157,8 +157,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, s
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), blank().alias("text"))
     total = tests.agg(F.sum(F.size(F.split("text", r"\s+")).cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for k in range(blocks):
         rows = [(r[0], r[1].encode()) for r in tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        docs = mapped(docs.select("*", blank().alias("_text")), _clean(spark.sparkContext.broadcast(rows), min_words, similarity), schema)
+        docs = mapped(docs.select(*all_of(docs), blank().alias(hidden(docs, "text_"))), _clean(spark.sparkContext.broadcast(rows), min_words, similarity), docs.schema)
     return docs

@@ -10,10 +10,10 @@ those that end as soon as they have the words, counted forwards from a line or b
 Of each such run the first occurrence (by doc_id, then place) stays and the lines of all later ones go. So a line goes exactly
 if some run that counts holds it and has occurred before.
 
-Order and equality: lines are equal byte by byte. Blank lines are in no run and stay. Null texts stay null,
-empty ones empty; a null doc_id comes first; rows of equal doc_id and text are one document (each is returned, edited alike); equal
-doc_ids go by the text's hash. An empty table gives no rows. Columns other than text pass through; one called
-lines_removed is overwritten.
+Rows: lines are equal if their bytes are (told apart by 128-bit hashes, as texts of equal doc_id are). Blank lines are in no run and stay. Null
+texts stay null, empty ones empty; a null doc_id comes first; rows of equal doc_id and text are one document (each is returned, edited alike);
+equal doc_ids with other texts go by the text's hash. A text of any length is taken whole: its lines are rows. An empty table gives no rows. Columns
+other than text pass through, whatever their names; one with the name of the result column makes way.
 """
 
 from __future__ import annotations
@@ -21,20 +21,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import all_of, dropped, hidden, saved
 
-_DOC = ["__doc1", "__doc2"]
+_DOC = ["doc1", "doc2"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__doc1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__doc2": F.xxhash64("text")})
+def _keys(text) -> dict:
+    """A document's keys: its doc_id, and what tells texts of equal doc_id apart."""
+    return {"doc1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "doc2": F.unhex(F.md5(text))}
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """One row of each document. Repeated rows are found by their keys alone, so only they are exchanged with their texts."""
+    repeated = saved(texts.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_DOC), "repeated")
+    if repeated.isEmpty():
+        return texts
+    alone = texts.join(repeated.hint("merge"), _DOC, "left_anti")
+    return alone.unionByName(texts.join(repeated.hint("merge"), _DOC, "left_semi").dropDuplicates(_DOC).select(*texts.columns))
 
 
 def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """__doc1, __doc2 (a document's keys) and places: the line numbers, from 0, to remove."""
-    text = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).filter("text is not null")
-    lines = text.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).select(*_DOC, "place", F.xxhash64("line").alias("line"), F.size(F.filter(F.split("line", r"[ \t\r\x0b\x0c]+"), lambda w: w != "")).cast("long").alias("words")).filter("words > 0")
-    lines = lines.repartition(*_DOC).dropDuplicates([*_DOC, "place"])
+    """doc1, doc2 (a document's keys) and places: the line numbers, from 0, to remove.
+
+    What is counted by a key and joined by it is a table first: both sides of the join are then exchanged, and Spark can split a frequent line.
+    """
+    text = F.col("text").cast("string")
+    text = _once(docs.select(*[c.alias(n) for n, c in _keys(text).items()], text.alias("text")).filter("text is not null"))
+    lines = text.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("place", "line")).select(*_DOC, "place", F.unhex(F.md5("line")).alias("line"), F.size(F.filter(F.split("line", r"[ \t\r\x0b\x0c]+"), lambda w: w != "")).cast("long").alias("words")).filter("words > 0")
+    lines = lines.repartition(*_DOC)
     doc = Window.partitionBy(*_DOC).orderBy("place")
     whole = Window.partitionBy(*_DOC)
     lines = lines.withColumns({"seq": F.row_number().over(doc).cast("long"), "upto": F.sum("words").over(doc), "all": F.sum("words").over(whole)})
@@ -43,8 +57,8 @@ def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     behind = Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(-(min_words - 1), 0)
     lines = lines.withColumns({"fwd": F.when(F.col("all") - F.col("before") >= min_words, F.count(F.lit(1)).over(ahead)), "back": F.when(F.col("upto") >= min_words, F.count(F.lit(1)).over(behind))})
     lines = saved(lines.select(*_DOC, "place", "seq", "line", "fwd", "back"), "lines")
-    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line")
-    ranks = [saved(lines.join(often, "line", "left_semi").select(*_DOC, "seq", F.col("line").alias("r")), "rank")]
+    often = saved(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line", F.monotonically_increasing_id().alias("r")), "often")
+    ranks = [saved(lines.select(*_DOC, "seq", "line").join(often.hint("merge"), "line").select(*_DOC, "seq", "r"), "rank")]
     runs = lines.select(*_DOC, "seq", F.explode(F.array_distinct(F.array(F.struct(F.col("seq").alias("start"), F.col("fwd").alias("n")), F.struct((F.col("seq") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))))).alias("run")).select(*_DOC, "run.start", "run.n").filter("n is not null").distinct()
     runs = saved(runs, "runs")
     longest = runs.agg(F.max("n")).first()[0] or 0
@@ -55,9 +69,8 @@ def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         pairs = saved(pairs, "pairs")
         order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("r", "r2").repartitionByRange("r", "r2").sortWithinPartitions("r", "r2")
         order = saved(order.withColumn("rank", F.monotonically_increasing_id()), "order")
-        ranks.append(saved(pairs.join(order, ["r", "r2"]).select(*_DOC, "seq", F.col("rank").alias("r")), "rank"))
-        dropped(pairs)
-        dropped(order)
+        ranks.append(saved(pairs.join(order.hint("merge"), ["r", "r2"]).select(*_DOC, "seq", F.col("rank").alias("r")), "rank"))
+        dropped(pairs, order)
     found = None
     for k, rank in enumerate(ranks):
         own = runs.filter((F.col("n") >= 2**k) & (F.col("n") < 2 ** (k + 1)))
@@ -69,20 +82,29 @@ def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             own = own.withColumn("r2", F.lit(0).cast("long"))
         found = own.select(*_DOC, "start", "n", "r", "r2") if found is None else found.unionByName(own.select(*_DOC, "start", "n", "r", "r2"))
     found = saved(found, "found")
-    first = found.groupBy("n", "r", "r2").agg(F.min(F.struct("__doc1", "__doc2", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    later = found.join(first, ["n", "r", "r2"]).filter(F.struct("__doc1", "__doc2", "start") != F.col("first"))
+    dropped(runs, often, *ranks)
+    first = found.groupBy("n", "r", "r2").agg(F.min(F.struct(*_DOC, "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    first = saved(first, "first")
+    later = found.join(first.hint("merge"), ["n", "r", "r2"]).filter(F.struct(*_DOC, "start") != F.col("first"))
     gone = later.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("seq")).distinct()
-    return gone.join(lines.select(*_DOC, "seq", "place"), [*_DOC, "seq"]).groupBy(*_DOC).agg(F.collect_list("place").alias("places"))
+    out = saved(gone.join(lines.select(*_DOC, "seq", "place"), [*_DOC, "seq"]).groupBy(*_DOC).agg(F.collect_list("place").alias("places")), "gone")
+    dropped(lines, found, first)
+    return out
 
 
-def line_deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs with later copies of repeated line runs taken out of text, and lines_removed (long)."""
-    kept = [c for c in docs.columns if c not in ("__doc1", "__doc2", "__places", "lines_removed")]
-    gone = saved(later_lines(docs, min_words).withColumnRenamed("places", "__places"), "gone")
-    split = _keyed(docs.select(*kept)).withColumn("__lines", F.split(F.col("text").cast("string"), "\n")).drop("text")
-    split = split.join(gone.hint("merge"), _DOC, "left").withColumn("__stay", F.when(F.col("__places").isNotNull(), F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__places"))))
-    text = F.when(F.col("__stay").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
-    return split.select(*[text.alias("text") if c == "text" else c for c in kept], F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("lines_removed"))
+def line_deduplicated(docs: DataFrame, min_words: int = 50, removed: str = "lines_removed") -> DataFrame:
+    """docs with later copies of repeated line runs taken out of text, and how many lines each lost, in a column (long) named by `removed`."""
+    gone = later_lines(docs, min_words)
+    docs = docs.select(*all_of(docs, removed))
+    names = {c: hidden(docs, c) for c in ("doc1", "doc2", "places", "lines", "stay")}
+    d1, d2, places, lines, stay = names.values()
+    gone = gone.select(*[F.col(c).alias(names[c]) for c in ("doc1", "doc2", "places")])
+    text = F.col("text").cast("string")
+    split = docs.withColumns({names[c]: k for c, k in _keys(text).items()} | {lines: F.split(text, "\n")}).drop("text")
+    split = split.join(gone.hint("merge"), [d1, d2], "left").withColumn(stay, F.when(F.col(places).isNotNull(), F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places))))
+    new = F.when(F.col(stay).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    kept = [new.alias("text") if c == "text" else own for c, own in zip(docs.columns, all_of(docs))]
+    return split.select(*kept, F.coalesce(F.size(places), F.lit(0)).cast("long").alias(removed))
 
 
 #: {0}: the table, {1}: words that make a run count.

@@ -9,7 +9,8 @@ returns counts and one link a node, never its pairs.
 Bands and rows: the fewest bands of `rows` minima that find a pair at the threshold with probability `recall`.
 
 Rows: a null, empty or blank text has no runs, is linked with nothing and is its own class; null or equal doc_ids are
-documents of their own; an empty table gives no rows; other columns are ignored.
+documents of their own, and repeated rows are copies; a text of any length is taken whole (its set is held by one task); a similarity of
+exactly the threshold is a link; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, blank, grams, mapped, mixed, saved, words_of
+from .common import HASHES, all_of, blank, dropped, grams, hidden, mapped, mixed, saved, words_of
 from .graph import components
 
 
@@ -188,11 +189,12 @@ def _tiles(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block_grams: int = 1_000_000, block_nodes: int = 1500) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), class_id (the smallest doc_id of its class), n_links (other documents at the threshold or above).
+#: Slots that the copies of a text are dealt to where they meet the texts that are wanted.
+SLOTS = 16
 
-    block_grams and block_nodes bound a block: expected runs and nodes in it.
-    """
+
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float, rows: int, block_grams: int, block_nodes: int) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), node (null without runs), root (the class: its smallest node), class_id, n_links."""
     bands = bands_for(threshold, recall, rows)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(blank()).alias("text_key"), blank().alias("text"))
     signed = saved(mapped(base, _signed(n, bands, rows), "doc_id long, text_key long, node binary, grams long, bands array<bigint>", 500), "signatures")
@@ -201,35 +203,51 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     heads = in_bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("band", "head")
     links = in_bands.join(heads, "band").select(F.col("node").alias("a"), F.col("head").alias("b"))
     groups = saved(components(links).join(nodes.drop("bands", "low"), "node"), "groups")
-    size = groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_nodes)).cast("int").alias("blocks"))
-    wanted = groups.select("text_key").distinct()
-    sets = mapped(base.select("text_key", "text").join(wanted.hint("merge"), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text"), _sets(n), "node binary, grams_of binary", 500).dropDuplicates(["node"])
-    placed = groups.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    # what is grouped by a key and then joined by it is a table first: Spark can split a join of two exchanges where a key is frequent
+    size = saved(groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_nodes)).cast("int").alias("blocks")), "sizes")
+    wanted = saved(groups.select("text_key").distinct(), "wanted").select("text_key", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    texts = base.select("text_key", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot"), "text").join(wanted.hint("merge"), ["text_key", "slot"], "left_semi")
+    texts = texts.dropDuplicates(["text_key", "slot"]).dropDuplicates(["text_key"]).select("text")
+    sets = mapped(texts, _sets(n), "node binary, grams_of binary", 500).dropDuplicates(["node"])
+    placed = groups.join(size.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = placed.select("root", "node", "copies", "grams_of", "block", other.alias("k"))
     tiles = tiles.select(F.concat_ws("/", F.hex("root"), F.least("block", "k").cast("string"), F.greatest("block", "k").cast("string")).alias("tile"), F.when(F.col("block") == F.col("k"), 2).otherwise((F.col("block") > F.col("k")).cast("int")).alias("side"), "node", "copies", "grams_of")
     found = saved(mapped(tiles.repartition("tile").sortWithinPartitions("tile"), _tiles(threshold), "node binary, links long, head binary", 200), "links")
+    dropped(size, groups)
     classes = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     info = saved(nodes.drop("bands", "text_key", "grams").join(counted, "node", "left").join(classes, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low", F.coalesce("root", "node").alias("root")), "classes")
-    lows = info.groupBy("root").agg(F.min("low").alias("class_id"))
-    info = info.join(lows, "root").select("node", "n_links", "class_id")
-    return signed.drop("bands", "grams").join(info, "node", "left").select("doc_id", "text_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    dropped(nodes, found)
+    lows = saved(info.groupBy("root").agg(F.min("low").alias("class_id")), "lows")
+    info = info.drop("low").join(lows.hint("merge"), "root").select("node", "n_links", "root", "class_id")
+    return signed.drop("bands", "grams").join(info.hint("merge"), "node", "left").select("doc_id", "text_key", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block_grams: int = 1_000_000, block_nodes: int = 1500) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), class_id (the smallest doc_id of its class), n_links (other documents at the threshold or above).
+
+    block_grams and block_nodes bound a block: expected runs and nodes in it.
+    """
+    return _linked(docs, n, threshold, recall, rows, block_grams, block_nodes).drop("node", "root")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block_grams: int = 1_000_000, block_nodes: int = 1500) -> DataFrame:
     """docs with one row of each class: the smallest doc_id's (null first), of equal ones that with the smallest text hash.
 
     Rows of equal doc_id and text are told apart by nothing: one of them stays. Documents without runs all stay.
+    Classes are told apart by their members' texts, so null and repeated doc_ids join none. All columns pass through, whatever their names.
     """
-    found = near_duplicates(docs, **options).filter("n_links > 0").withColumn("at", F.struct("doc_id", "text_key"))
-    least = found.groupBy(F.coalesce("class_id", F.lit(-(1 << 63))).alias("class")).agg(F.min("at").alias("stay"))
-    gone = found.withColumn("class", F.coalesce("class_id", F.lit(-(1 << 63)))).join(least, "class").select("at", (F.col("at") == F.col("stay")).alias("stays")).groupBy("at").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    ids = lambda c: (F.coalesce(c["doc_id"], F.lit(-(1 << 63))), c["text_key"])
-    gone = saved(gone.filter(~F.col("stays") | (F.col("rows") > 1)).select(ids(F.col("at"))[0].alias("__k1"), ids(F.col("at"))[1].alias("__k2"), "stays"), "gone")
-    keyed = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__k2": F.xxhash64(blank())})
-    kept = keyed.join(gone.hint("merge"), ["__k1", "__k2"], "left_anti")
+    found = _linked(docs, n, threshold, recall, rows, block_grams, block_nodes).filter("n_links > 0").select("root", F.struct("doc_id", "text_key").alias("at"))
+    found = saved(found.groupBy("root", "at").agg(F.count(F.lit(1)).alias("rows")), "members")
+    least = saved(found.groupBy("root").agg(F.min("at").alias("stay")), "least")
+    gone = found.join(least.hint("merge"), "root").select("at", (F.col("at") == F.col("stay")).alias("stays"), "rows").filter(~F.col("stays") | (F.col("rows") > 1))
+    k1, k2 = hidden(docs, "k1"), hidden(docs, "k2")
+    id_ = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    gone = saved(gone.select(id_(F.col("at.doc_id")).alias(k1), F.col("at.text_key").alias(k2), "stays"), "gone")
+    keyed = docs.withColumns({k1: id_(F.col("doc_id").cast("long")), k2: F.xxhash64(blank())})
+    kept = keyed.join(gone.hint("merge"), [k1, k2], "left_anti")
     repeated = gone.filter("stays")
     if not repeated.isEmpty():
-        kept = kept.unionByName(keyed.join(repeated.drop("stays"), ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]))
-    return kept.select(*docs.columns)
+        kept = kept.unionByName(keyed.join(repeated.drop("stays"), [k1, k2]).dropDuplicates([k1, k2]))
+    return kept.select(*all_of(docs))

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import blank, mapped
+from .common import all_of, blank, hidden, mapped
 
 DIMS = 1 << 18
 #: Frequent function words of the four languages (fixed values).
@@ -153,7 +154,7 @@ def fit_scorer(ids, x, label, rounds: int = 120, rate: float = 0.5, shrink: floa
     return w
 
 
-def _scored(shared):
+def _scored(shared, name: str):
     def run(batches):
         w = shared.value
         for b in batches:
@@ -161,13 +162,13 @@ def _scored(shared):
             for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist():
                 ids, x = features(t)
                 out.append(1 / (1 + np.exp(-np.clip(w[ids] @ x + w[DIMS], -30, 30))) if len(ids) else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*b.schema.names[:-1], name])
 
     return run
 
 
-def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) -> DataFrame:
-    """docs with score (0 to 1) and keep (score >= keep_from).
+def rated(docs: DataFrame, score: str, sample_rows: int) -> DataFrame:
+    """docs with a column of the name `score`, 0 to 1.
 
     sample_rows bounds the texts that fit the scorer: distinct ones with the smallest hashes, each counting once however
     many copies it has; all distinct texts, if there are no more. The vote patterns of the weak-label model are counted
@@ -194,7 +195,17 @@ def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) ->
     sample = voted(near).withColumn("pattern", key).join(F.broadcast(prior), "pattern").select("text", "label")
     got = mapped(sample, _sampled, "ids array<int>, x array<float>, label double").toPandas()
     w = fit_scorer(got["ids"].tolist(), got["x"].tolist(), got["label"].to_numpy())
-    kept = [c for c in docs.columns if c not in ("score", "keep")]
     shared = spark.sparkContext.broadcast(w.astype(np.float32))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", score double"
-    return mapped(docs.select(*kept, blank().alias("_text")), _scored(shared), schema).withColumn("keep", F.col("score") >= keep_from)
+    return mapped(docs.select(*all_of(docs), blank().alias(hidden(docs, "text_"))), _scored(shared, score), StructType([*docs.schema.fields, StructField(score, DoubleType())]))
+
+
+def quality(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) -> DataFrame:
+    """docs with score (0 to 1) and keep (score >= keep_from). Columns of docs with these names make way; rated() keeps them."""
+    docs = docs.select(*all_of(docs, "score", "keep"))
+    return rated(docs, "score", sample_rows).withColumn("keep", F.col("score") >= keep_from)
+
+
+def good_documents(docs: DataFrame, sample_rows: int = 6000, keep_from: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is keep_from or more, all their columns as they were."""
+    score = hidden(docs, "score")
+    return rated(docs, score, sample_rows).filter(F.col(score) >= keep_from).select(*all_of(docs))

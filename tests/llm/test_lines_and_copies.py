@@ -64,7 +64,31 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e} | {x: r for x, r in got.items() if x == r and False}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_components_of_large_hashes(spark):
+    """So many edges that the sum of their hashes is beyond 64 bits."""
+    n = 400_000
+    edges = spark.range(n).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    assert edges.agg(F.sum(F.abs(F.xxhash64("a", "b")).cast("decimal(38,0)"))).first()[0] > 2**63
+    got = components(edges)
+    assert got.agg(F.count(F.lit(1)), F.count_distinct("root")).first()[:] == (2 * n, n)
+
+
+def test_classes_without_ids(spark):
+    """Null and repeated doc_ids do not join classes."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(k) + e) for k in range(4) for e in ("", " more")] + [(7, text(k)) for k in (8, 8, 9, 9)]
+    left = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(left) == 6
+
+
+def test_line_runs_of_repeated_rows(spark):
+    run = "\n".join(f"a{i} b c" for i in range(5))
+    rows = [(None, run), (None, run), (1, "x\n" + run), (1, "x\n" + run), (1, run + "\ny"), (2, None), (2, "")]
+    out = line_deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(False, 0, run)] * 2 + [(True, 1, "x")] * 2 + [(True, 1, "y")] + [(True, 2, "")] * 2)
 
 
 def jaccard_classes(docs, threshold=0.8):
