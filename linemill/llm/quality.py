@@ -65,24 +65,28 @@ def _votes() -> dict[str, Column]:
     }
 
 
-#: Labellers whose vote for bad starts EM, and that are taken to vote so on few good documents (MOST of their votes there).
+#: Labellers whose vote for bad starts EM: they look for something that good documents seldom have.
 DETECTORS = ("signs", "bars", "capitals", "marks", "repeats", "echo", "variety")
-MOST = 0.002
 
 
 class WeakLabels:
-    """Two classes, conditionally independent votes; EM on counts of vote patterns. Abstentions say nothing."""
+    """Two classes, conditionally independent votes; EM on counts of vote patterns. Abstentions say nothing.
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200):
+    Both error rates of every labeller are estimated. A detector's share of bad votes on good documents has a Beta prior with mean
+    `alarms`, worth `weight` votes for each document: the maximum is a posteriori, and data move it as far as they say.
+    """
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 500, alarms: float = 0.002, weight: float = 1.0):
         c = counts.astype(float)
+        believed = np.where(start, weight * c.sum(), 0.0)
         post = np.where((patterns[:, start] == 0).any(1), 0.05, 0.97)
         for _ in range(rounds):
             self.prior = float(np.clip((post * c).sum() / max(c.sum(), 1e-9), 0.02, 0.98))
             self.bad_votes = np.empty((2, patterns.shape[1]))  # share of bad among votes on bad (0) and on good documents (1)
             for y, w in ((1, post * c), (0, (1 - post) * c)):
                 bad, good = ((patterns == v) * w[:, None] for v in (0, 1))
-                self.bad_votes[y] = (bad.sum(0) + (0.5 if y == 0 else 0.01)) / (bad.sum(0) + good.sum(0) + 1)
-            self.bad_votes[1, start] = np.minimum(self.bad_votes[1, start], MOST)
+                more = believed if y else 0.0
+                self.bad_votes[y] = (bad.sum(0) + (0.5 if y == 0 else 0.01) + alarms * more) / (bad.sum(0) + good.sum(0) + 1 + more)
             new = self.posterior(patterns)
             done = len(new) == 0 or np.abs(new - post).max() < 1e-6
             post = new
