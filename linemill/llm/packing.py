@@ -3,13 +3,16 @@
 Documents are tokenised once into a table in the shared folder. Corpus statistics (documents with each
 id, documents, ids) cover all of it and have the vocabulary's size. The index is sharded: each shard of about
 `shard_tokens` ids has its own postings over token ids and is packed by itself, so memory does not grow with
-the corpus and no document is in two shards. In a shard the first unused document seeds a window; the unused
+the corpus and no document is in two shards. Documents are dealt to shards by what they say: a document's signature is the `KEYS` of its
+ids that come first in a fixed random order of the vocabulary (as in MinHash, documents that share many ids tend to share these), and shards are ranges of
+signatures. So copies and alike documents of the whole corpus, wherever they lie in it, are neighbours in a shard; equal signatures go by a hash, so
+any number of copies spreads over shards. In a shard the first unused document seeds a window; the unused
 document that scores highest for the seed, by all of the seed's terms, comes next, until the window is full. What the last one has left
 over seeds the next window. Where no unused neighbour shares a term, the first unused document follows.
 A shard's last ids go to windows of powers of two, so nothing is padded.
 
-Rows: a null text counts as empty and is its end id alone; null or equal doc_ids are documents of their own;
-an empty table gives no rows; other columns are ignored.
+Rows: a null text counts as empty and is its end id alone; null or equal doc_ids are documents of their own, and so are repeated rows; a text
+of any length is cut into as many windows as it takes; of equal scores the first in the shard's order wins; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +23,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import blank, mapped, saved
+from .common import blank, mapped, saved, shuffle_parts
 
 K1, B = 1.2, 0.75
 CHUNK = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def _tokenised(path: str, end_id: int):
+#: Ids in a document's signature.
+KEYS = 4
+
+
+def order_of(size: int, seed: int = 5) -> np.ndarray:
+    """A fixed random order of a vocabulary's ids: each one's place."""
+    return np.random.default_rng(seed).permutation(size).astype(np.int32)
+
+
+def _tokenised(path: str, end_id: int, size: int):
     def run(batches):
         enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
+        end, place = np.array([end_id], enc.dtype).tobytes(), order_of(size)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode(x) + end for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            ids = [enc.encode(x) + end for x in b.column(1).to_pylist()]
+            keys = []
+            for x in ids:
+                first = place[np.frombuffer(x, enc.dtype)[:-1]]
+                # the least places, each once: only places up to the KEYS-th of a sample of distinct ones can be among them
+                some = np.unique(first[:: max(1, len(first) // 64)])
+                if len(some) > KEYS:
+                    first = first[first <= some[KEYS - 1]]
+                keys.append(np.unique(first)[:KEYS].tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
     return run
 
@@ -193,7 +214,8 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024
     spark = docs.sparkSession
     enc = encoder(vocabulary)
     dtype, size = enc.dtype.str, max(enc.size, end_id + 1)
-    table = saved(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text")), _tokenised(vocabulary, end_id), "doc_id long, ids binary"), "packing")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
+    table = saved(mapped(texts, _tokenised(vocabulary, end_id, size), "doc_id long, key array<int>, ids binary", 500), "packing")
     got = mapped(table.select("ids"), _statistics(dtype, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     stats = dict(zip(got["id"].tolist(), got["n"].tolist()))
     n, total = stats.pop(-1, 0), stats.pop(-2, 0)
@@ -201,4 +223,6 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024
     df[list(stats)] = list(stats.values())
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float64)
     shared = spark.sparkContext.broadcast((idf, total / max(n, 1)))
-    return mapped(table, _packed(dtype, shared, window, shard_tokens), PIECES)
+    at = [*[F.get("key", F.lit(i)) for i in range(KEYS)], F.xxhash64("doc_id", F.crc32("ids"))]
+    dealt = table.repartitionByRange(shuffle_parts(spark), *at).sortWithinPartitions(*at, "doc_id")
+    return mapped(dealt.select("doc_id", "ids"), _packed(dtype, shared, window, shard_tokens), PIECES)

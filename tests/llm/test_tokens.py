@@ -115,3 +115,80 @@ def test_packed_rows(spark, odd, plain):
         seq = seq.sort_values("offset")
         assert (seq["offset"].to_numpy() == np.concatenate([[0], seq["length"].cumsum()[:-1]])).all()
         assert all(len(i) == 4 * n for i, n in zip(seq["ids"], seq["length"]))
+
+
+def plain_packing(docs, idf, mean, window):
+    """The packing rule by plain loops: a window's seed, then the unused document of the largest BM25 score for it."""
+    from collections import Counter
+
+    tf = [Counter(d.tolist()) for d in docs]
+
+    def score(seed, d):
+        return sum(w(d, t) for t in tf[seed] if t in tf[d])
+
+    def w(d, t):
+        return idf[t] * tf[d][t] * 2.2 / (tf[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+
+    unused, order, room, seed = list(range(len(docs))), [], window, None
+    while unused:
+        d = unused[0]
+        if seed is not None:
+            best = max(score(seed, x) for x in unused)
+            if best > 0:
+                d = next(x for x in unused if score(seed, x) > best - 1e-9)
+        unused.remove(d)
+        order.append(d)
+        n = len(docs[d])
+        seed = d if seed is None else seed
+        if n >= room:
+            rest = (n - room) % window
+            room, seed = (window - rest, d) if rest else (window, None)
+        else:
+            room -= n
+    return order
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_choices_are_the_best_scores(seed):
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(0, 30, rng.integers(1, 25)).astype(np.uint16) for _ in range(25)]
+    idf, mean = rng.random(30) + 0.1, 12.0
+    got = list(dict.fromkeys(d for s in pack_shard(docs, idf, mean, 32) for d, _, _ in s))
+    want = plain_packing(docs, idf, mean, 32)
+    whole = sum(len(d) for d in docs) // 32 * 32  # what comes behind is dealt to windows of powers of two
+    at = 0
+    for a, b in zip(got, want):
+        if at >= whole:
+            break
+        assert a == b
+        at += len(docs[a])
+
+
+def test_packed_digest(spark, odd, plain):
+    """Every column of every piece, from the texts by the plain library."""
+    from linemill.llm.queries import packed_digest
+
+    docs = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    ids = {r["doc_id"]: np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4") for r in docs.collect()}
+    got = packed_digest(packed(docs, VOCABULARY, window=64, shard_tokens=500)).toPandas()
+    assert set(got["doc_id"]) == set(ids)
+    for doc, pieces in got.groupby("doc_id"):
+        at = 0
+        for r in pieces.sort_values("start").itertuples():
+            assert (r.start, r.doc_tokens) == (at, len(ids[doc])) and r.ids_crc32 == zlib.crc32(ids[doc][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[doc])
+
+
+def test_alike_documents_meet_wherever_they_lie(spark):
+    """Pairs of alike documents, far apart in the table, of a corpus of many shards: most share a window."""
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for k in range(300):
+        text = rng.choice(words, 60).tolist()
+        rows += [(k, " ".join(text)), (1000 + k, " ".join([*text[:57], "other", "words", "here"]))]
+    docs = spark.createDataFrame(sorted(rows), "doc_id long, text string").repartition(4, "doc_id")
+    got = packed(docs, VOCABULARY, window=512, shard_tokens=4000).toPandas()
+    where = got.groupby("doc_id")["sequence_id"].agg(set)
+    assert sum(bool(where[k] & where[1000 + k]) for k in range(300)) > 200
