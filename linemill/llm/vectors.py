@@ -14,8 +14,8 @@ Equal vectors are one entry that carries its smallest ids: no more than k+1 of t
 ties going to smaller ids, so nothing is lost by that.
 
 Rows: vectors that are null, of another length than most, zero, or with null or non-finite components take no part, neither
-as queries nor as candidates; so do null ids; of a repeated id each distinct vector is a candidate; empty tables give no rows;
-other columns are ignored.
+as queries nor as candidates; so do null ids; of a repeated id each distinct vector is a candidate; ties go to smaller ids; with fewer
+than k candidates a query gets all of them; empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -248,9 +248,10 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, list_rows: int = 1024,
     right = where(asked, blocks).join(F.broadcast(parts.withColumnRenamed("of", "of2")), "list").select("list", other("of2").alias("own"), F.col("own").alias("k"), F.lit(1).alias("side"), "ids", "v")
     both = left.unionByName(right).select(F.concat_ws("/", "list", "own", "k").alias("part"), "side", "ids", "v")
     found = mapped(both.repartition("part").sortWithinPartitions("part", "side"), _compared(k), "query_id long, vec_id long, score double", 2000)
-    best = F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("top"))
-    return top.select("query_id", F.posexplode("top")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
+    # a vector can be found in several lists; the k best of each task go on, never all of a query's finds
+    found = found.distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _bytes():

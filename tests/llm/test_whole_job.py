@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from linemill.llm.packing import pack_shard
@@ -63,3 +64,13 @@ def test_neighbours_of_small_groups_far_away(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, (v + 0.001).tolist()) for v in x[:4]] + [(1, (v + 0.01 * j).tolist()) for v in x[:1] for j in range(1, 15)]
     got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 4, list_rows=16)
     assert {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()} == dict.fromkeys(range(4), 10)
+
+
+def test_one_vector_far_from_all(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 16))
+    x[0] = 1000
+    df = spark.createDataFrame([(i, v.tolist(), "x", 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, lists string, score double")
+    got = neighbours(df, F.col("vec_id") % 100 == 0, list_rows=32)
+    assert {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()} == dict.fromkeys(range(0, 3000, 100), 10)
+    for r in got.filter("query_id = 0").collect():
+        assert r["score"] == pytest.approx(np.sqrt(((x[0] - x[r["vec_id"]]) ** 2).sum()), rel=1e-12)
