@@ -2,7 +2,7 @@
 
 A token's log-odds compare how often it occurs in toxic and in other documents of the learning rows, with Dirichlet
 priors in two steps: a word is drawn towards its stem (its first letters), a stem towards the overall rate, each by
-`strength` prior counts; words seen fewer than `least` times count as unseen. Words and stems are hashed to
+`strength` prior counts, so that a rare word says little by itself. Words and stems are hashed to
 tables of fixed size. Log-odds less a drift are token scores with a negative mean; all maximal-scoring segments of a text
 are found in one pass (Ruzzo and Tompa). Their sums are normalised as extreme values are (lambda * sum - ln(K * tokens)); the
 segments with a positive value are the significant passages, and a logistic map of the largest and the total gives the score.
@@ -11,7 +11,8 @@ Learning rows divide by a hash of doc_id: two in three count tokens, the third f
 see texts whose tokens were not counted.
 
 Rows: a null or empty text has no tokens and gets the score of a text without a passage; a null doc_id is scored, not
-learned from; repeated rows count as often as they occur; of several labels for a doc_id the largest holds; empty
+learned from; repeated rows count as often as they occur; a text of any length is scanned whole; of segments that tie, the definition of maximal ones
+leaves no choice; of several labels for a doc_id the largest holds; empty
 tables, or no learning row with both labels, give every text the score 0; other columns are ignored.
 """
 
@@ -133,7 +134,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1.0) -> np.ndarra
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn_from, strength: float = 10.0, least: int = 3, drift: float = 1.0, fit_rows: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, learn_from, strength: float = 10.0, drift: float = 1.0, fit_rows: int = 20_000) -> DataFrame:
     """doc_id, n_tokens, passages (start, end in tokens, sum, and value: lambda * sum - ln(K * n_tokens)), score.
 
     learn_from: condition on doc_id; labels of other rows are not read. Counts cover all learning rows of two of three
@@ -144,7 +145,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from, strength: float = 1
     slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
     counting = base.filter(learn_from).filter(slice_ < 2).join(marks.filter(slice_ < 2).hint("merge"), "doc_id").select("text", "toxic")
-    counts = mapped(counting, _counted, "bucket int, n long, tox long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("tox").alias("tox")).filter((F.col("n") >= least) | (F.col("bucket") >= WORDS)).toPandas()
+    counts = mapped(counting, _counted, "bucket int, n long, tox long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("tox").alias("tox")).toPandas()
     n, tox = np.zeros(WORDS + STEMS, np.float32), np.zeros(WORDS + STEMS, np.float32)
     n[counts["bucket"]], tox[counts["bucket"]] = counts["n"], counts["tox"]
     rate = float((tox[WORDS:].sum(dtype=np.float64) + 1) / (n[WORDS:].sum(dtype=np.float64) + 2))

@@ -109,6 +109,53 @@ def test_segments(seed):
     assert [(a, b) for a, b, _ in maximal_segments(s)] == brute_segments(s)
 
 
+def test_toxicity_of_plain_counts(spark):
+    """Passages, values and scores against plain counts of words and stems, brute-force segments, and the fitted maps."""
+    rng = random.Random(9)
+    words = ["calm", "river", "stone", "table", "green", "walks", "often", "paper", "light", "house"]
+    docs, labels = [], []
+    for i in range(500):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 25))]
+        if i % 4 == 0:
+            at = rng.randint(0, len(text))
+            text[at:at] = [rng.choice(["Vile!", "nasty", "filthy"]) for _ in range(rng.randint(2, 5))]
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learn = F.col("doc_id") % 5 != 0
+    slots = {r[0]: r[1] for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3))).collect()}
+    n, tox = collections.Counter(), collections.Counter()
+    keys = lambda w: (("w", w.lower().strip("!")), ("s", w.lower().strip("!")[:5]))
+    for (i, t), (_, _, y) in zip(docs, labels):
+        if i % 5 and slots[i] < 2:
+            for w in t.split():
+                n.update(keys(w))
+                tox.update({k: y for k in keys(w)})
+    rate = (sum(v for k, v in tox.items() if k[0] == "s") + 1) / (sum(v for k, v in n.items() if k[0] == "s") + 2)
+    seen = lambda c, k: c[k] if k[0] == "s" or n[k] >= 1 else 0
+
+    def value(w):
+        word, stem = keys(w)
+        theta = (tox[stem] + 10 * rate) / (n[stem] + 10)
+        theta = (seen(tox, word) + 10 * theta) / (seen(n, word) + 10)
+        return math.log(theta / (1 - theta)) - math.log(rate / (1 - rate)) - 1
+
+    got = {r["doc_id"]: r for r in toxicity(d, lab, learn).collect()}
+    for i, t in docs:
+        s = [value(w) for w in t.split()]
+        r = got[i]
+        assert [(p["start"], p["end"]) for p in r["passages"]] == brute_segments(s)
+        for p in r["passages"]:
+            assert p["sum"] == pytest.approx(sum(s[p["start"] : p["end"]]), abs=1e-4)
+    # one line: value = lambda * sum - ln(K * n); the score grows with the largest value
+    same = [(r["n_tokens"], p["sum"], p["value"]) for r in got.values() for p in r["passages"]]
+    (n1, s1, v1), (n2, s2, v2) = same[0], max(same, key=lambda x: abs(x[1] - same[0][1]))
+    lam = (v1 + math.log(n1) - v2 - math.log(n2)) / (s1 - s2)
+    assert all(v == pytest.approx(lam * s - math.log(k) + v1 + math.log(n1) - lam * s1, abs=1e-3) for k, s, v in same)
+    held = [(got[i]["score"] >= 0.5) == bool(y) for i, _, y in labels if i % 5 == 0]
+    assert sum(held) / len(held) > 0.95
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
@@ -119,6 +166,43 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity(odd, labels.limit(0), fold != 0).collect()} == {0.0}
 
 
+def plain_em(rows, start, rounds=500, alarms=0.002):
+    """Votes of documents (1 good, 0 bad, -1 none) to each document's probability of good, by loops over documents."""
+    n, k = len(rows), len(rows[0])
+    good = [0.05 if any(r[j] == 0 for j in range(k) if start[j]) else 0.97 for r in rows]
+    for _ in range(rounds):
+        prior, share = min(0.98, max(0.02, sum(good) / n)), []
+        for j in range(k):
+            per = []
+            for weight in ([1 - g for g in good], good):
+                bad, fine = (sum(w for w, r in zip(weight, rows) if r[j] == v) for v in (0, 1))
+                extra = n if weight is good and start[j] else 0
+                per.append(min(1 - 1e-4, max(1e-4, (bad + (0.01 if weight is good else 0.5) + alarms * extra) / (bad + fine + 1 + extra))))
+            share.append(per)
+        new = []
+        for r in rows:
+            p = [1 - prior, prior]
+            for j, v in enumerate(r):
+                for y in (0, 1):
+                    p[y] *= share[j][y] if v == 0 else 1 - share[j][y] if v == 1 else 1
+            new.append(p[1] / sum(p))
+        moved, good = max(abs(a - b) for a, b in zip(new, good)), new
+        if moved < 1e-6:
+            break
+    return good
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_posteriors_are_those_of_plain_em(seed):
+    rng = random.Random(seed)
+    truth = [rng.random() < 0.8 for _ in range(120)]
+    rows = [tuple(-1 if rng.random() < 0.3 else int(t if rng.random() < a else not t) for a in (0.95, 0.8, 0.75, 0.9)) for t in truth]
+    start = [True, False, True, False]
+    patterns, n = np.unique(np.array(rows), axis=0, return_counts=True)
+    model = WeakLabels(patterns, n, np.array(start))
+    assert np.allclose(model.posterior(np.array(rows)), plain_em(rows, start), atol=1e-4)
+
+
 def test_weak_labels():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.8
