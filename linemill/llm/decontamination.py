@@ -9,8 +9,9 @@ document and the longest segment with at least `similarity` (0.8) equal words is
 The benchmark is the broadcast side: its size is measured first, and it goes out in blocks of at most about `block_words` words,
 each against all documents, so memory is bounded whatever its size.
 
-Rows: null or blank texts and items match nothing; null or equal ids are rows of their own and carry their id into the result;
-an item of fewer words than the shortest mask is sought as a whole; empty tables give no rows; other columns are ignored.
+Rows: null or blank texts and items match nothing; null or equal ids are rows of their own and carry their id into the result, repeated rows too;
+a text of any length is hashed whole; of segments of equal length the first counts; an item of fewer words than the shortest mask is sought as a
+whole; empty tables give no rows; other columns are ignored, and decontaminated() returns them as they are.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ how often each pattern of votes occurs (at most 3**labellers rows, counted over
 good documents and, for each labeller, its votes on good and on bad ones. The posterior of a pattern labels the
 fitting sample for a logistic scorer over hashed words and word shapes; the scorer rates every document.
 
-Rows: a null text counts as empty and is rejected (score 0); null or equal doc_ids are rated row by row; an empty
-table gives no rows; the columns of the input are kept, clashing names are overwritten by the results.
+Rows: a null text counts as empty and is rejected (score 0); null or equal doc_ids and repeated rows are rated row by row, equal texts alike;
+texts of any length are read whole; a score of exactly the limit is kept; an empty table gives no rows; all columns of the input are kept, but those that
+quality() names its results by (rated() and good_documents() keep these too).
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ order (doc_id, n_tokens each), `first` = ids of this shard before it, and the id
 blocks with their own checkpoints and CRCs (rans.py). Shards ascend with doc_id, segments within a shard too.
 
 Rows: a null text counts as empty and still has its end id; a null doc_id comes first; equal doc_ids go by
-text; an empty table gives empty files. Other columns are ignored.
+text and repeated rows are documents of their own; a text of any length is one segment at most, held by its task; an empty table gives empty files. Other columns are ignored.
 """
 
 from __future__ import annotations

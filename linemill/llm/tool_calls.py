@@ -10,7 +10,8 @@ Rows: an identifier that several calls have: the first by seq, then name and arg
 duplicate_call; of several results the first by seq, then content, with error duplicate_result. No result: result is
 null, error missing_result. Results without a call are left out. A dependency that no call has is an error
 missing_dependency, a cycle leaves level null with error cycle, null identifiers are dropped. Arguments that are null or no JSON object
-give invalid_arguments. Empty tables give no rows; other columns are ignored.
+give invalid_arguments. Arguments and results of any length are serialised whole; repeated rows are duplicates. Empty tables give no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from linemill.llm import queries
-from linemill.llm.decontamination import benchmark_overlaps, decontaminated, longest_alike
+from linemill.llm.common import HASHES
+from linemill.llm.decontamination import MASKS, Index, benchmark_overlaps, decontaminated, longest_alike
 from linemill.llm.graph import components
 from linemill.llm.line_dedup import line_deduplicated
 from linemill.llm.near import bands_for, near_duplicates, one_of_each
@@ -180,6 +181,34 @@ def test_segment(seed):
     assert n >= max(fine, default=0) - 25 // 5 and (n > 0) == bool(fine)
 
 
+def plain_overlaps(doc, items, min_words):
+    """Every item on every diagonal that some mask hits: the longest part, first of equals, with 80 % equal words, trimmed to equal ends."""
+    out = set()
+    for k, item in enumerate(items):
+        for shift in range(-len(item) + 1, len(doc)):
+            same = {j: doc[j + shift] == item[j] for j in range(len(item)) if 0 <= j + shift < len(doc)}
+            masks = MASKS if len(item) >= min(map(len, MASKS)) else ("1" * len(item),)
+            if not any(all(same.get(j + i) for i, b in enumerate(m) if b == "1") and j in same and j + len(m) - 1 in same for m in masks for j in range(len(item) - len(m) + 1)):
+                continue
+            ends = sorted(same)
+            a0, b0 = ends[0], ends[-1] + 1
+            size, start = max((b - a, -a) for a in range(a0, b0) for b in range(a + 1, b0 + 1) if 5 * sum(same[j] for j in range(a, b)) >= 4 * (b - a))
+            hit = [j for j in range(-start, -start + size) if same[j]]
+            if len(hit) >= min(min_words, len(item)):
+                out.add((k, hit[0] + shift, hit[0], hit[-1] - hit[0] + 1, len(hit)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_overlaps_on_all_diagonals(seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abc").encode()  # noqa: E731  few words: many chance hits
+    items = [[word() for _ in range(rng.choice([2, 6, 9, 14, 22]))] for _ in range(4)]
+    doc = [word() for _ in range(15)] + [w if rng.random() < 0.85 else word() for w in rng.choice(items)] + [word() for _ in range(10)]
+    index = Index([(i, b" ".join(x)) for i, x in enumerate(items)])
+    assert index.hits(HASHES.of(doc), 8, 0.8) == plain_overlaps(doc, items, 8)
+
+
 def test_overlaps_odd(spark, odd, none):
     items = spark.createDataFrame([(None, "same text here for all"), (1, None), (2, ""), (2, "a b c")], "item_id long, text string")
     assert benchmark_overlaps(odd, items).count() == 3

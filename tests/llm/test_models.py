@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linemill.llm import katz
 from linemill.llm.katz import discounts, katz_scores, pack, unpack
 from linemill.llm.quality import WeakLabels, quality
-from linemill.llm.tool_calls import levels, linked
+from linemill.llm.tool_calls import TURN_SCHEMAS, from_turns, levels, linked
 from linemill.llm.toxicity import maximal_segments, toxicity
 from linemill.llm.vectors import neighbours
 
@@ -271,3 +271,16 @@ def test_neighbours(spark):
     assert neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = neighbours(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_turns_odd(spark):
+    """Null ids, turns and roles, repeated turns, long texts and clashing columns."""
+    long = "x" * 200_000
+    rows = [(1, 0, "user", "hi", "a"), (1, 1, "assistant", long, "a"), (1, 2, "user", long, "b"), (1, 2, "user", long, "b"), (1, 3, "assistant", None, "c"), (None, 0, "user", "x", "d"), (2, None, "user", "x", "d"), (2, 0, None, "x", "d"), (3, 0, "user", None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, result string").withColumn("call_id", F.lit(5)).withColumn("level", F.lit("z"))
+    got = {r["call_id"]: r for r in linked(*from_turns(turns), TURN_SCHEMAS).collect()}
+    assert set(got) == {"1:0", "1:2", "3:0"}
+    assert json.loads(got["1:0"]["json"])["result"] == long and got["1:0"]["level"] == 0
+    assert got["1:2"]["errors"] == ["duplicate_call", "range:chars"] and json.loads(got["1:2"]["json"])["result"] == "" and got["1:2"]["level"] == 1
+    assert got["3:0"]["errors"] == ["missing_result", "range:text"]
+    assert linked(*from_turns(turns.limit(0)), TURN_SCHEMAS).count() == 0
