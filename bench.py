@@ -1,7 +1,8 @@
 """Times headline queries over the tables in $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query's full result is written to Spark's no-op sink: nothing is left out, and no driver transfer is timed. The best of
-$BENCH_RUNS runs (2) counts. `rates` has MB of text a second for the merges.
+$BENCH_RUNS runs (2) counts. `rates` has MB of text a second for the merges. $BENCH_GB (none by default) adds a merge of files of so many GB of
+text, made of the documents' lines with a number before each and every tenth line repeated, run once, with the largest resident size of the JVM.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     times: dict[str, float] = {}
+    large = None
 
     def timed(name, run):
         best = None
@@ -57,8 +59,20 @@ def main() -> None:
         spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("value")).write.text(f"{folder}/in")
         size = sum(p.stat().st_size for p in Path(folder, "in").iterdir()) / 1e6
         timed("merge_files", lambda: run_merge(spark, MergeOptions([f"{folder}/in"], f"{folder}/out.txt")))
+        big = float(os.environ.get("BENCH_GB", "0"))
+        if big:
+            copies = max(1, round(big * 1e9 / size / 1e6))
+            lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", r"[\r\n]+")).alias("t"))
+            lines = lines.crossJoin(spark.range(copies)).select(F.concat(F.when(F.crc32("t") % 10 == 0, F.lit(0)).otherwise(F.col("id")).cast("string"), F.lit(" "), "t").alias("value"))
+            lines.write.text(f"{folder}/big")
+            size_big = sum(p.stat().st_size for p in Path(folder, "big").iterdir()) / 1e6
+            began = time.time()
+            stats = run_merge(spark, MergeOptions([f"{folder}/big"], f"{folder}/big-out.txt"))
+            took = time.time() - began
+            peak = max(int(l.split()[1]) for p in Path("/proc").iterdir() if p.name.isdigit() and (p / "comm").exists() and (p / "comm").read_text().strip() == "java" for l in (p / "status").read_text().splitlines() if l.startswith("VmHWM"))
+            large = {"text_mb": round(size_big, 1), "seconds": round(took, 1), "mb_a_second": round(size_big / took, 1), "lines": stats["lines_read"], "written": stats["lines_written"], "jvm_peak_mb": peak // 1024}
     rates = {n: round(size / times[n], 2) for n in ("merge_dictionary", "merge_length", "merge_leave_duplicates", "merge_files")}
-    print(json.dumps({"metric": "sum of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir, "cpus": cpus, "text_mb": round(size, 1), "rates": rates}))
+    print(json.dumps({"metric": "sum of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir, "cpus": cpus, "text_mb": round(size, 1), "rates": rates} | ({"large_merge": large} if large else {})))
     spark.stop()
 
 
