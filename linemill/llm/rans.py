@@ -3,8 +3,8 @@
 One table of frequencies, normalised to 2**bits, codes every block. A block holds up to BLOCK ids,
 dealt to LANES interleaved coder states: id i belongs to lane i % LANES, so a step codes one id of each
 lane and numpy does a step at once. States are 64-bit and give off 32-bit words. A block can be
-decoded alone, or from any of its checkpoints (states and place in the words, every CHECK steps);
-a CRC-32 of the words and one of the ids guard it.
+decoded alone, or from any of its checkpoints (states, place in the words and a CRC-32 of the ids up to the next one, every CHECK steps),
+which reads only the words behind it. A CRC-32 of the words and one of the ids guard the whole.
 """
 
 from __future__ import annotations
@@ -80,8 +80,10 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     sizes = np.cumsum([0, *(len(w) for w in out)])
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
     data = words.tobytes()
-    head = _HEAD.pack(MAGIC, 1, CHECK, n, lanes, len(words), zlib.crc32(data), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
-    return head + b"".join(struct.pack("<I", len(words) - int(sizes[k])) + p.astype("<u8").tobytes() for k, p in points[::-1]) + data
+    head = _HEAD.pack(MAGIC, 2, CHECK, n, lanes, len(words), zlib.crc32(data), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+    own, span = np.asarray(ids, "<u4"), CHECK * lanes
+    crcs = [zlib.crc32(own[i : i + span].tobytes()) for i in range(0, n, span)]
+    return head + b"".join(struct.pack("<II", len(words) - int(sizes[k]), crc) + p.astype("<u8").tobytes() for (k, p), crc in zip(points[::-1], crcs)) + data
 
 
 def _run(x, words, at, t0, t1, n, lanes, table, out):
@@ -104,25 +106,41 @@ def _run(x, words, at, t0, t1, n, lanes, table, out):
 def decode(block: bytes, table: Table, part: int | None = None) -> np.ndarray:
     """All ids of a block, or those from checkpoint `part` to the next. ValueError where a checksum does not fit."""
     magic, version, check, n, lanes, n_words, crc_w, crc_i = _HEAD.unpack_from(block)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != 2:
         raise ValueError("not a block")
     steps = -(-n // lanes)
     n_points = -(-steps // check)
-    size = 4 + 8 * lanes
+    size = 8 + 8 * lanes
     base = _HEAD.size + n_points * size
     data = memoryview(block)[base : base + 4 * n_words]
-    if zlib.crc32(data) != crc_w:
+    if part is None and zlib.crc32(data) != crc_w:
         raise ValueError("words do not fit their checksum")
-    words = np.frombuffer(data, "<u4").astype(np.uint64)
     out = np.empty(n, np.uint32)
     k = 0 if part is None else part
     if n_points:
-        (at,) = struct.unpack_from("<I", block, _HEAD.size + k * size)
-        x = np.frombuffer(block, "<u8", lanes, _HEAD.size + k * size + 4).astype(np.uint64)
+        at, crc = struct.unpack_from("<II", block, _HEAD.size + k * size)
+        words = np.frombuffer(data[4 * at :], "<u4").astype(np.uint64) if part is None else np.frombuffer(data[4 * at : 4 * (at + check * lanes)], "<u4").astype(np.uint64)
+        x = np.frombuffer(block, "<u8", lanes, _HEAD.size + k * size + 8).astype(np.uint64)
         end = steps if part is None else min(steps, (part + 1) * check)
-        _run(x, words, at, k * check, end, n, lanes, table, out)
+        try:
+            _run(x, words, 0, k * check, end, n, lanes, table, out)
+        except (IndexError, ValueError) as e:  # more words asked for than there are
+            raise ValueError("words do not fit their checksum") from e
         if part is not None:
-            return out[k * check * lanes : min(n, end * lanes)]
+            got = out[k * check * lanes : min(n, end * lanes)]
+            if zlib.crc32(got.astype("<u4").tobytes()) != crc:
+                raise ValueError("ids do not fit their checksum")
+            return got
     if zlib.crc32(out.astype("<u4").tobytes()) != crc_i:
         raise ValueError("ids do not fit their checksum")
     return out
+
+
+def decode_range(block: bytes, table: Table, first: int, last: int) -> np.ndarray:
+    """Ids first to last (behind) of a block, from the checkpoints around them only."""
+    _, _, check, n, lanes, *_ = _HEAD.unpack_from(block)
+    span, last = check * lanes, min(last, n)
+    if first >= last:
+        return np.zeros(0, np.uint32)
+    parts = range(first // span, (last - 1) // span + 1)
+    return np.concatenate([decode(block, table, k) for k in parts])[first - parts[0] * span : last - parts[0] * span]

@@ -130,7 +130,9 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 0, se
     spark = docs.sparkSession
     enc = encoder(vocabulary)
     dtype, size = enc.dtype.str, max(enc.size, end_id + 1)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
+    # the text's beginning spreads rows of null or equal doc_id, and is short enough for the sample that the range exchange draws
+    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     raw = saved(mapped(ordered, _segments(vocabulary, end_id, segment), _RAW), "ids")
     got = mapped(raw.select("ids"), _histogram(dtype, size), "id int, n long", 16).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
@@ -144,16 +146,44 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 0, se
     return out
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids; from the files alone."""
-    shipped(spark)
+def _shared(spark: SparkSession, path: str):
+    """The table of frequencies, broadcast (a number for each id of the vocabulary), and the ids before each shard (a row for each)."""
     table = spark.read.parquet(f"{path}/freqs").toPandas()
     freq = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, "<i8")
     freq[table["id"].to_numpy(np.int64)] = table["freq"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(freq.tobytes())
-    shards = spark.read.parquet(f"{path}/shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    starts = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = spark.read.parquet(f"{path}/shards").groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return spark.sparkContext.broadcast(freq.tobytes()), starts
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids; from the files alone."""
+    shipped(spark)
+    shared, starts = _shared(spark, path)
+    shards = spark.read.parquet(f"{path}/shards")
     docs = mapped(shards, _decoded(shared, with_ids), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids, 16)
     out = docs.join(F.broadcast(starts), "shard")
     return out.select("doc_id", (F.col("start") + F.col("before")).alias("start"), *[c for c in docs.columns if c not in ("doc_id", "shard", "start")])
+
+
+def _ranges(freq, first: int, last: int):
+    def run(batches):
+        table = _table(freq.value)
+        for b in batches:
+            for at, blocks in zip(b.column("at").to_pylist(), b.column("blocks").to_pylist()):
+                for k, block in enumerate(blocks):
+                    start = at + k * rans.BLOCK
+                    got = rans.decode_range(block, table, max(0, first - start), max(0, last - start))
+                    if len(got):
+                        yield pa.RecordBatch.from_arrays([pa.array([max(start, first)], pa.int64()), pa.array([got], pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))], ["start", "ids"])
+
+    return run
+
+
+def read_ids(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """start and ids of the stream of all ids from `first` to `last` (behind), in pieces: from the blocks that hold them, and in these from the checkpoints around them."""
+    shipped(spark)
+    shared, before = _shared(spark, path)
+    shards = spark.read.parquet(f"{path}/shards").join(F.broadcast(before), "shard").withColumn("at", F.col("first") + F.col("before"))
+    near = shards.filter((F.col("at") < last) & (F.col("at") + F.col("n_tokens") > first)).select("at", "blocks")
+    return mapped(near, _ranges(shared, first, last), "start long, ids array<int>", 16)

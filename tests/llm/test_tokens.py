@@ -11,7 +11,7 @@ from linemill.llm import rans
 from linemill.llm.bpe import Encoder
 from linemill.llm.common import table_path
 from linemill.llm.packing import pack_shard, packed
-from linemill.llm.token_files import read_tokens, write_tokens
+from linemill.llm.token_files import read_ids, read_tokens, write_tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,6 +49,28 @@ def test_rans_round_trip(n):
         assert (np.concatenate(pieces) == part).all()
 
 
+def test_rans_ranges_and_their_guards():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, rans.BLOCK), 5000).astype(np.uint32)
+    table = rans.Table(rans.normalised(np.bincount(ids, minlength=5001), 16), 16)
+    block = rans.encode(ids, table)
+    for a, b in ((0, 1), (70_000, 70_010), (65_000, 131_072), (5, 5), (131_000, 200_000)):
+        assert (rans.decode_range(block, table, a, b) == ids[a:b]).all()
+    broken = bytearray(block)
+    broken[-3] ^= 1  # the last part's words only
+    assert (rans.decode(bytes(broken), table, 0) == ids[: rans.CHECK * rans.LANES]).all()
+    with pytest.raises(ValueError):
+        rans.decode(bytes(broken), table, 1)
+
+
+def test_ids_of_a_range(spark, odd):
+    out = write_tokens(odd, table_path(spark, "t"), VOCABULARY, segment=100)
+    every = np.concatenate([list(r["ids"]) for r in read_tokens(spark, out).orderBy("start").collect()])
+    for a, b in ((0, 3), (40, 900), (len(every) - 2, len(every) + 9), (7, 7)):
+        got = sorted((r["start"], r["ids"]) for r in read_ids(spark, out, a, b).collect())
+        assert sum((x for _, x in got), []) == every[a:b].tolist() and (not got or got[0][0] == a)
+
+
 def test_rans_guards():
     ids = np.arange(5000, dtype=np.uint32) % 7
     table = rans.Table(rans.normalised(np.bincount(ids), 12), 12)
