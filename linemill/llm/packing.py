@@ -3,10 +3,10 @@
 Documents are tokenised once into a table in the shared folder. Corpus statistics (documents with each
 id, documents, ids) cover all of it and have the vocabulary's size. The index is sharded: each shard of about
 `shard_tokens` ids has its own postings over token ids and is packed by itself, so memory does not grow with
-the corpus and no document is in two shards. Documents are dealt to shards by what they say: a document's signature is the `KEYS` of its
-ids that come first in a fixed random order of the vocabulary (as in MinHash, documents that share many ids tend to share these), and shards are ranges of
-signatures. So copies and alike documents of the whole corpus, wherever they lie in it, are neighbours in a shard; equal signatures go by a hash, so
-any number of copies spreads over shards. In a shard the first unused document seeds a window; the unused
+the corpus and no document is in two shards. Documents are dealt to shards by what they say: a document's signature is its `KEYS` weightiest
+ids, heaviest first (BM25's term weight, with an id's place in the vocabulary for its rarity: byte-pair ids are numbered by merges, common ones
+first, so a signature needs no second pass), and shards are ranges of signatures. So copies and alike documents of the whole
+corpus, wherever they lie in it, are neighbours in a shard; equal signatures go by a hash, so any number of copies spreads over shards. In a shard the first unused document seeds a window; the unused
 document that scores highest for the seed, by all of the seed's terms, comes next, until the window is full. What the last one has left
 over seeds the next window. Where no unused neighbour shares a term, the first unused document follows.
 A shard's last ids go to windows of powers of two, so nothing is padded.
@@ -30,30 +30,30 @@ CHUNK = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-#: Ids in a document's signature.
-KEYS = 4
+#: Ids in a document's signature, and the ids that a document usually has.
+KEYS, USUAL = 4, 600
 
 
-def order_of(size: int, seed: int = 5) -> np.ndarray:
-    """A fixed random order of a vocabulary's ids: each one's place."""
-    return np.random.default_rng(seed).permutation(size).astype(np.int32)
+def signature(ids: np.ndarray, rarity: np.ndarray) -> list[int]:
+    """The weightiest ids of a document; of equal weights the smaller id first."""
+    term, tf = np.unique(ids, return_counts=True)
+    weight = rarity[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / USUAL))
+    return term[np.argsort(-weight, kind="stable")[:KEYS]].tolist()
+
+
+def rarities(size: int) -> np.ndarray:
+    """Of a vocabulary in the order of its merges."""
+    return np.log1p(np.arange(size) / 50) ** 2
 
 
 def _tokenised(path: str, end_id: int, size: int):
     def run(batches):
         enc = encoder(path)
-        end, place = np.array([end_id], enc.dtype).tobytes(), order_of(size)
+        end, rarity = np.array([end_id], enc.dtype).tobytes(), rarities(size)
         for b in batches:
-            ids = [enc.encode(x) + end for x in b.column(1).to_pylist()]
-            keys = []
-            for x in ids:
-                first = place[np.frombuffer(x, enc.dtype)[:-1]]
-                # the least places, each once: only places up to the KEYS-th of a sample of distinct ones can be among them
-                some = np.unique(first[:: max(1, len(first) // 64)])
-                if len(some) > KEYS:
-                    first = first[first <= some[KEYS - 1]]
-                keys.append(np.unique(first)[:KEYS].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+            ids = [enc.encode(x) for x in b.column(1).to_pylist()]
+            keys = [signature(np.frombuffer(x, enc.dtype), rarity) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "key", "ids"])
 
     return run
 
