@@ -92,7 +92,8 @@ def clean(lines: DataFrame, how: Cleaning, observation=None) -> DataFrame:
         c = cleaned_text(latin1(F.col("line")), how)
         if how.longest is not None:
             lines = lines.filter(F.octet_length("line") <= how.longest)
-        out = lines.withColumn("_clean", c)
+        # a generator of one row: filters on the cleaned line stay behind it, so the line is cleaned once
+        out = lines.withColumn("_clean", F.explode(F.array(c)))
         if not how.keep_blanks:
             out = out.filter("_clean <> ''")
         return out.filter(_stays(F.col("_clean"), how)).withColumn("line", from_latin1(F.col("_clean"))).drop("_clean")

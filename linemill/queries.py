@@ -64,7 +64,7 @@ def merge_save_duplicates(spark, sf_dir):
 
 
 def _cleaned(spark, sf_dir, lines, **how):
-    return _text(clean(lines, Cleaning(**how)).distinct())
+    return _text(clean(lines, Cleaning(**({"longest": None} | how))).distinct())
 
 
 def dollar_hex(spark, sf_dir):
@@ -92,17 +92,17 @@ def strip_nulls(spark, sf_dir):
 
 
 def keep_nulls(spark, sf_dir):
-    out = clean(_with_nulls(spark, sf_dir), Cleaning(keep_nulls=True)).distinct()
+    out = clean(_with_nulls(spark, sf_dir), Cleaning(keep_nulls=True, longest=None)).distinct()
     return out.select(F.lower(F.hex("line")).alias("line"))
 
 
 def keep_blanks(spark, sf_dir):
-    kept = clean(_pieces(spark, sf_dir), Cleaning(whitespace="trim", keep_blanks=True))
+    kept = clean(_pieces(spark, sf_dir), Cleaning(whitespace="trim", keep_blanks=True, longest=None))
     return _text(kept).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def drop_blanks(spark, sf_dir):
-    kept = clean(_pieces(spark, sf_dir), Cleaning(whitespace="trim"))
+    kept = clean(_pieces(spark, sf_dir), Cleaning(whitespace="trim", longest=None))
     return _text(kept).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,7 +120,7 @@ def skip_long_lines(spark, sf_dir):
 
 def multi_source_merge(spark, sf_dir):
     parts = [column_lines(_table(spark, sf_dir, t), "text") for t in ("documents", "conversations", "benchmark")]
-    return _text(clean(union_lines(*parts), Cleaning()).distinct())
+    return _text(clean(union_lines(*parts), Cleaning(longest=None)).distinct())
 
 
 def shard_histogram_1(spark, sf_dir):
@@ -192,13 +192,13 @@ def top_lines(spark, sf_dir):
 
 
 def page_lines(spark, sf_dir):
-    return _text(clean(column_lines(_table(spark, sf_dir, "pages"), "html"), Cleaning(whitespace="trim")).distinct())
+    return _text(clean(column_lines(_table(spark, sf_dir, "pages"), "html"), Cleaning(whitespace="trim", longest=None)).distinct())
 
 
 def name_lines(spark, sf_dir):
     """Word lists of the relational tables, merged."""
     parts = [_table(spark, sf_dir, t).select(F.encode(c, "UTF-8").alias("line")) for t, c in (("customer", "c_name"), ("part", "p_name"), ("nation", "n_name"), ("events", "event_type"))]
-    return _text(ranked(clean(union_lines(*parts), Cleaning()).distinct(), "length"))
+    return _text(ranked(clean(union_lines(*parts), Cleaning(longest=None)).distinct(), "length"))
 
 
 def ranked_with_source(spark, sf_dir):
