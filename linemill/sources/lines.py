@@ -21,8 +21,16 @@ def _remote(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def _checksum(folder: str, name: str, names: set[str]) -> bool:
+    """Whether it is the checksum file that Hadoop's local file system leaves beside a file that it writes."""
+    if not (name.startswith(".") and name.endswith(".crc") and name[1:-4] in names):
+        return False
+    with open(os.path.join(folder, name), "rb") as f:
+        return f.read(4) == b"crc\0"
+
+
 def gather(paths: Iterable[str], excluded_endings: Iterable[str] = (), spark: SparkSession | None = None) -> list[str]:
-    """Paths to files: a folder gives all below it, a missing path nothing; endings compare without case.
+    """Paths to files: a folder gives all below it but Hadoop's checksums of them, a missing path nothing; endings compare without case.
 
     Paths of other file systems (with ://) are listed by the session; without one they pass through, and Spark lists them.
     """
@@ -33,7 +41,7 @@ def gather(paths: Iterable[str], excluded_endings: Iterable[str] = (), spark: Sp
         elif os.path.isfile(path):
             out.append(path)
         else:
-            out += sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names)
+            out += sorted(os.path.join(d, f) for d, _, names in os.walk(path) for there in [set(names)] for f in names if not _checksum(d, f, there))
     return [p for p in out if not (endings and p.lower().endswith(endings))]
 
 

@@ -44,6 +44,17 @@ def test_gather(tmp_path):
     assert len(gather([str(tmp_path / "d"), str(tmp_path / "d" / "a.txt")])) == 4
 
 
+def test_gather_without_checksums(spark, tmp_path):
+    """What Spark writes to a local folder has a checksum file beside each file, which is no input; a file that is only named like one is."""
+    spark.createDataFrame([("a",), ("b",)], "value string").write.text(f"file://{tmp_path}/d")
+    (tmp_path / "d" / ".own.crc").write_bytes(b"own\n")
+    (tmp_path / "d" / "like").write_bytes(b"like\n")
+    (tmp_path / "d" / ".like.crc").write_bytes(b"not a checksum\n")
+    assert any(p.name.startswith(".part-") for p in (tmp_path / "d").iterdir())
+    assert not any(os.path.basename(p).startswith((".part-", "._SUCCESS")) for p in gather([str(tmp_path / "d")]))
+    assert sorted(got(read_lines(spark, [str(tmp_path / "d")], exact=True))) == [b"a", b"b", b"like", b"not a checksum", b"own"]
+
+
 def test_read(spark, tmp_path):
     (tmp_path / "x").write_bytes(B1)
     for exact in (False, True):

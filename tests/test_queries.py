@@ -1,7 +1,7 @@
 import pytest
 from oracle import check
 
-from linemill import queries
+from linemill import queries, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,6 +11,13 @@ def test_same_rows_as_sql(spark, name):
     check(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", ["merge_files_length"])
+def test_same_rows_in_a_local_folder(spark, tmp_path, monkeypatch, name):
+    """The shared folder is named without a scheme, as in local mode without a setting."""
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    check(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
