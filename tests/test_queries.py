@@ -11,7 +11,7 @@ def test_same_rows_as_sql(spark, name):
     check(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["merge_files_length"])
+@pytest.mark.parametrize("name", ["merge_files_length", "merge_files_skip"])
 def test_same_rows_in_a_local_folder(spark, tmp_path, monkeypatch, name):
     """The shared folder is named without a scheme, as in local mode without a setting."""
     monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
