@@ -92,6 +92,10 @@ def _sets(n: int):
     return run
 
 
+#: Numbers that are held at once when sets are compared; a run is counted by a product of matrices where 1 in so many pairs, or more, has it.
+AT_ONCE, DENSE = 1 << 20, 64
+
+
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float):
     """Index pairs (i, j) of sets with Jaccard similarity >= threshold; within left (i < j) if right is None."""
     own = right is None
@@ -103,32 +107,43 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     ra, rb = np.repeat(np.arange(len(left)), la), np.repeat(np.arange(len(right)), lb)
     na, nb = np.bincount(ca, minlength=len(ids)), np.bincount(cb, minlength=len(ids))
     both = np.zeros((len(left), len(right)), np.float32)
-    common = np.flatnonzero((na > 0) & (nb > 0) & (na * nb > (1 if own else 0)))
-    if int((na[common] * nb[common]).sum()) * 4 < len(left) * len(right) * len(common) or len(common) < 64:
-        work = np.zeros(len(ids), bool)
-        work[common] = True
-        oa, ob = np.flatnonzero(work[ca]), np.flatnonzero(work[cb])
-        oa, ob = oa[np.argsort(ca[oa], kind="stable")], ob[np.argsort(cb[ob], kind="stable")]
-        end = np.cumsum(nb * work)
-        for i in range(0, len(oa), 1 << 14):
-            part = oa[i : i + (1 << 14)]
-            k = nb[ca[part]]
-            at = np.arange(k.sum()) + np.repeat(end[ca[part]] - np.cumsum(k), k)
-            both += np.bincount(np.repeat(ra[part], k) * len(right) + rb[ob[at]], minlength=both.size).reshape(both.shape).astype(np.float32)
-    else:
-        order = np.full(len(ids), -1)
-        order[common] = np.arange(len(common))
-        for i in range(0, len(common), 4096):
-            x, y = np.zeros((len(left), min(4096, len(common) - i)), np.float32), np.zeros((len(right), min(4096, len(common) - i)), np.float32)
-            for m, r, c in ((x, ra, ca), (y, rb, cb)):
-                o = order[c] - i
-                on = (order[c] >= 0) & (o >= 0) & (o < m.shape[1])
-                m[r[on], o[on]] = 1
-            both += x @ y.T
-    both = both.astype(np.float64)
-    ok = both / np.maximum(la[:, None] + lb[None, :] - both, 1) >= threshold
-    i, j = np.nonzero(ok)
-    return (i[i < j], j[i < j]) if own else (i, j)
+    common = (na > 0) & (nb > 0) & (na * nb > (1 if own else 0))
+    dense = common & (na * nb * DENSE >= both.size)
+    work = common & ~dense  # few pairs hold these: they are counted one by one, so many at once
+    oa, ob = np.flatnonzero(work[ca]), np.flatnonzero(work[cb])
+    ob = ob[np.argsort(cb[ob], kind="stable")]
+    end = np.cumsum(nb * work)
+    size = np.cumsum(nb[ca[oa]])
+    i = 0
+    while i < len(oa):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + AT_ONCE, "right")))
+        part = oa[i:j]
+        k = nb[ca[part]]
+        at = np.arange(k.sum()) + np.repeat(end[ca[part]] - np.cumsum(k), k)
+        low = int(ra[part[0]])  # parts go by rows of left
+        rows = int(ra[part[-1]]) + 1 - low
+        both[low : low + rows] += np.bincount(np.repeat(ra[part] - low, k) * len(right) + rb[ob[at]], minlength=rows * len(right)).reshape(rows, -1)
+        i = j
+    order = np.full(len(ids), -1)
+    order[dense] = np.arange(dense.sum())
+    wide = [(r[on], order[c[on]]) for r, c in ((ra, ca), (rb, cb)) for on in [order[c] >= 0]]
+    step = max(1, AT_ONCE // (len(left) + len(right)))
+    for i in range(0, int(dense.sum()), step):
+        x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+        for m, (r, o) in zip((x, y), wide):
+            on = (o >= i) & (o < i + step)
+            m[r[on], o[on] - i] = 1
+        both += x @ y.T
+    found = []
+    step = max(1, AT_ONCE // max(1, len(right)))
+    for i in range(0, len(left), step):
+        some = both[i : i + step].astype(np.float64)
+        ok = some / np.maximum(la[i : i + step, None] + lb[None, :] - some, 1) >= threshold
+        if own:
+            ok &= np.arange(i, i + len(ok))[:, None] < np.arange(len(right))[None, :]
+        x, y = np.nonzero(ok)
+        found.append((x + i, y))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _heads(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

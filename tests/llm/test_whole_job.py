@@ -1,12 +1,14 @@
 """What was cut once: each of these failed on the version before."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linemill.llm.near import similar
 from linemill.llm.packing import pack_shard
 from linemill.llm.quality import quality
 from linemill.llm.queries import op2_katz_backoff
@@ -74,3 +76,23 @@ def test_one_vector_far_from_all(spark):
     assert {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()} == dict.fromkeys(range(0, 3000, 100), 10)
     for r in got.filter("query_id = 0").collect():
         assert r["score"] == pytest.approx(np.sqrt(((x[0] - x[r["vec_id"]]) ** 2).sum()), rel=1e-12)
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("common", [30, 150])
+def test_a_tile_of_many_near_copies_is_compared_in_bounded_memory(own, common):
+    rng, n = np.random.default_rng(6), 800
+    base = rng.integers(0, 1 << 62, common).astype(np.uint64)
+    pairs_only = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, common - int(rng.integers(0, 6)), False), rng.choice(pairs_only, 4)])) for _ in range(2 * n)]
+    left, right = (sets[:n], None) if own else (sets[:n], sets[n:])
+    tracemalloc.start()
+    i, j = similar(left, right, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    rows = [set(x.tolist()) for x in sets]
+    other = rows[:n] if own else rows[n:]
+    some = range(0, n, 40)
+    want = {(a, b) for a in some for b in range(a + 1 if own else 0, n) if len(rows[a] & other[b]) / len(rows[a] | other[b]) >= 0.8}
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a in some} == want and want
