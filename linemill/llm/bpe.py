@@ -59,7 +59,7 @@ class Encoder(dict):
     def _piece(self, piece: str, lead: str, known) -> bytes:
         """A piece without white space, behind a space (lead Ġ) or not; known: the cache of such words."""
         word = piece.rstrip(_SIGNS)
-        if not (word.isalpha() and (word.isascii() or max(word) <= "ɏ")) or any(s in piece for s in self.special):
+        if not (word.isalpha() and (word.isascii() or max(word) <= "ɏ")) or self.special_in(piece):
             return self.whole(" " + piece if lead else piece)
         if word == piece:
             return self._letters(word, lead)
@@ -68,7 +68,11 @@ class Encoder(dict):
             if len(self.tails) > 50_000:
                 self.tails.clear()
             self.tails[tail] = self.whole(tail)
-        return (self._letters(word, lead) if got is None else got) + self.tails[tail]
+        if got is None:
+            got = self._letters(word, lead)
+            if len(word) <= 64:
+                known[word] = got  # other signs may follow it elsewhere
+        return got + self.tails[tail]
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -86,7 +90,10 @@ class Encoder(dict):
         return got
 
     def special_in(self, piece: str) -> bool:
-        return any(s in piece for s in self.special)
+        for s in self.special:
+            if s in piece:
+                return True
+        return False
 
     def _bare(self, piece: str) -> bytes:
         got = self.bare.get(piece)
@@ -98,11 +105,28 @@ class Encoder(dict):
                 self.bare[piece] = got
         return got
 
+    def _line(self, line: str) -> bytes:
+        """A text's line, or a text of one, that neither begins nor ends with white space."""
+        first, *rest = line.split(" ")
+        got = self.bare.get(first)
+        if got is None:
+            if not first or first[-1].isspace():
+                raise _Uneven
+            got = self._bare(first)
+        return got + b"".join(map(self.__getitem__, rest))
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = text.split(" ")
         try:
+            if "\n\n" not in text and not self.special_in(text):
+                lines = text.split("\n")
+                for x in lines:
+                    if not x or x[0].isspace() or x[-1].isspace():
+                        break
+                else:
+                    return self.newline.join(map(self._line, lines))
+            pieces = text.split(" ")
             if pieces[0] and pieces[0][-1].isspace():
                 raise _Uneven
             return self.whole(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))

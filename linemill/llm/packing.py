@@ -17,6 +17,8 @@ of any length is cut into as many windows as it takes; of equal scores the first
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from .common import blank, mapped, saved, shuffle_parts
 
 K1, B = 1.2, 0.75
 CHUNK = 1 << 20
+#: A term that one in so many documents of a shard, or more, holds has a row of weights of all unused documents; such rows have so many numbers at most.
+COMMON, ROWS = 16, 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -36,8 +40,11 @@ KEYS, USUAL = 4, 600
 
 def signature(ids: np.ndarray, rarity: np.ndarray) -> list[int]:
     """The weightiest ids of a document; of equal weights the smaller id first."""
-    term, tf = np.unique(ids, return_counts=True)
-    weight = rarity[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / USUAL))
+    return _weightiest(*np.unique(ids, return_counts=True), len(ids), rarity)
+
+
+def _weightiest(term: np.ndarray, tf: np.ndarray, n: int, rarity: np.ndarray) -> list[int]:
+    weight = rarity[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / USUAL))
     return term[np.argsort(-weight, kind="stable")[:KEYS]].tolist()
 
 
@@ -46,31 +53,36 @@ def rarities(size: int) -> np.ndarray:
     return np.log1p(np.arange(size) / 50) ** 2
 
 
+TOKENISED = "doc_id long, key array<int>, crc long, ids binary, seen array<int>, docs array<bigint>"
+
+
 def _tokenised(path: str, end_id: int, size: int):
+    """Rows of documents, and one behind them with the statistics of the task's: the ids seen, and how many documents hold each; id -1: documents, id -2: ids."""
+
     def run(batches):
         enc = encoder(path)
         end, rarity = np.array([end_id], enc.dtype).tobytes(), rarities(size)
-        for b in batches:
-            ids = [enc.encode(x) for x in b.column(1).to_pylist()]
-            keys = [signature(np.frombuffer(x, enc.dtype), rarity) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "key", "ids"])
-
-    return run
-
+        df, n, total = np.zeros(size, np.int64), 0, 0
 
-def _statistics(dtype: str, size: int):
-    """id -> documents that hold it; id -1: documents, id -2: ids."""
+        def rows(doc_id, keys, crc, ids, seen, docs):
+            return pa.RecordBatch.from_arrays([doc_id, pa.array(keys, pa.list_(pa.int32())), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()), pa.array(seen, pa.list_(pa.int32())), pa.array(docs, pa.list_(pa.int64()))], ["doc_id", "key", "crc", "ids", "seen", "docs"])
 
-    def run(batches):
-        df, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
-            for ids in b.column(0):
-                got = np.frombuffer(ids.as_buffer(), dtype)
-                df[np.unique(got)] += 1
-                n, total = n + 1, total + len(got)
-        seen = np.flatnonzero(df)
+            ids, keys = [enc.encode(x) for x in b.column(1).to_pylist()], []
+            for x in ids:
+                got = np.frombuffer(x, enc.dtype)
+                term, tf = np.unique(got, return_counts=True)
+                keys.append(_weightiest(term, tf, len(got), rarity))
+                had = df[end_id]
+                df[term] += 1
+                df[end_id] = had + 1
+                n, total = n + 1, total + len(got) + 1
+            none = [None] * len(ids)
+            ids = [x + end for x in ids]
+            yield rows(b.column(0), keys, [zlib.crc32(x) for x in ids], ids, none, none)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], seen]), pa.int32()), pa.array(np.concatenate([[n, total], df[seen]]), pa.int64())], ["id", "n"])
+            seen = np.flatnonzero(df)
+            yield rows(pa.array([None], pa.int64()), [None], [None], [None], [np.concatenate([[-1, -2], seen])], [np.concatenate([[n, total], df[seen]])])
 
     return run
 
@@ -95,6 +107,16 @@ class Shard:
     def _ends(self, term: np.ndarray) -> None:
         n = np.bincount(term, minlength=self.size)
         self.post_end, self.post_n = np.cumsum(n), n
+        self.held = np.flatnonzero(np.bincount(self.post_doc, minlength=self.n))  # the columns of the rows
+        place = np.zeros(self.n, np.int64)
+        place[self.held] = np.arange(len(self.held))
+        many = np.flatnonzero(n * COMMON >= max(len(self.held), 1))
+        many = many[np.argsort(-n[many], kind="stable")[: ROWS // max(len(self.held), 1)]]
+        self.row = np.full(self.size, -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), len(self.held)))
+        for row, end, k in zip(self.rows, self.post_end[many].tolist(), n[many].tolist()):
+            row[place[self.post_doc[end - k : end]]] = self.post_weight[end - k : end]
 
     def keep(self, unused: np.ndarray) -> None:
         """Drops the postings of documents that are used."""
@@ -111,7 +133,10 @@ class Shard:
         term, weight = term[held], weight[held]
         if self.terms is not None and len(term) > self.terms:
             term = term[np.argpartition(-weight, self.terms)[: self.terms]]
+        row = self.row[term]
         out = np.zeros(self.n)
+        out[self.held] = np.add.reduce(self.rows[row[row >= 0]], axis=0)  # in the order of terms for every document, so equal ones have equal scores
+        term = term[row < 0]
         size = np.cumsum(self.post_n[term])
         i = 0
         while i < len(term):  # so many postings at once, to bound memory
@@ -215,14 +240,15 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024
     enc = encoder(vocabulary)
     dtype, size = enc.dtype.str, max(enc.size, end_id + 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
-    table = saved(mapped(texts, _tokenised(vocabulary, end_id, size), "doc_id long, key array<int>, ids binary", 500), "packing")
-    got = mapped(table.select("ids"), _statistics(dtype, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    table = saved(mapped(texts, _tokenised(vocabulary, end_id, size), TOKENISED, 500), "packing")
+    counts = table.filter("seen is not null").select(F.explode(F.arrays_zip("seen", "docs")).alias("c"))
+    got = counts.groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.docs").alias("n")).toPandas()
     stats = dict(zip(got["id"].tolist(), got["n"].tolist()))
     n, total = stats.pop(-1, 0), stats.pop(-2, 0)
     df = np.zeros(size)
     df[list(stats)] = list(stats.values())
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float64)
     shared = spark.sparkContext.broadcast((idf, total / max(n, 1)))
-    at = [*[F.get("key", F.lit(i)) for i in range(KEYS)], F.xxhash64("doc_id", F.crc32("ids"))]
-    dealt = table.repartitionByRange(shuffle_parts(spark), *at).sortWithinPartitions(*at, "doc_id")
+    at = [*[F.get("key", F.lit(i)) for i in range(KEYS)], F.xxhash64("doc_id", "crc")]
+    dealt = table.filter("seen is null").select("doc_id", "key", "crc", "ids").repartitionByRange(shuffle_parts(spark), *at).sortWithinPartitions(*at, "doc_id")
     return mapped(dealt.select("doc_id", "ids"), _packed(dtype, shared, window, shard_tokens), PIECES)

@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from linemill.llm.near import similar
-from linemill.llm.packing import pack_shard
+from linemill.llm import packing
+from linemill.llm.bpe import Encoder
+from linemill.llm.packing import Shard, pack_shard
 from linemill.llm.quality import quality
-from linemill.llm.queries import op2_katz_backoff
+from linemill.llm.queries import op2_katz_backoff, vocabulary
 from linemill.llm.vectors import neighbours
 from test_models import katz_checked
 
@@ -96,3 +98,36 @@ def test_a_tile_of_many_near_copies_is_compared_in_bounded_memory(own, common):
     some = range(0, n, 40)
     want = {(a, b) for a in some for b in range(a + 1 if own else 0, n) if len(rows[a] & other[b]) / len(rows[a] | other[b]) >= 0.8}
     assert {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a in some} == want and want
+
+
+def test_a_word_goes_through_the_library_once(monkeypatch):
+    """Whatever signs follow it; texts of lines need no call for a whole text."""
+    enc, seen = Encoder(vocabulary()), []
+    letters, whole = enc._letters, enc.whole
+    monkeypatch.setattr(enc, "_letters", lambda word, lead: seen.append((word, lead)) or letters(word, lead))
+    text = "Foo bar. bar, bar\nFoo. bar; bar!\nbar?"
+    got = enc.encode(text)
+    assert sorted(seen) == [("Foo", ""), ("bar", ""), ("bar", "Ġ")]
+    monkeypatch.setattr(enc, "whole", lambda _: pytest.fail("not known"))
+    assert enc.encode(text) == got == whole(text)
+
+
+@pytest.mark.parametrize("common,rows", [(1, 0), (4, 1 << 20), (10**9, 1 << 20), (10**9, 90)])
+def test_scores_by_rows_of_weights_and_by_postings(monkeypatch, common, rows):
+    monkeypatch.setattr(packing, "COMMON", common)
+    monkeypatch.setattr(packing, "ROWS", rows)
+    rng = np.random.default_rng(8)
+    docs = [np.minimum(rng.zipf(1.5, int(rng.integers(1, 60))), 99).astype(np.uint16) for _ in range(30)]
+    docs += docs[:5]
+    idf, mean = rng.random(100) + 0.1, 30.0
+    shard = Shard(docs, idf, mean)
+    unused = np.ones(len(docs), bool)
+    for gone in (range(0), range(3, 20)):
+        unused[list(gone)] = False
+        shard.keep(unused)
+        for d in (0, 25):
+            tf = [{t: int((x == t).sum()) for t in set(docs[d].tolist())} for x in docs]
+            want = [sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t, n in f.items()) if u else 0 for x, f, u in zip(docs, tf, unused)]
+            got = shard.scores(d)
+            assert got == pytest.approx(want, rel=1e-12)
+            assert all(got[i] == got[30 + i] for i in range(5) if unused[i])
