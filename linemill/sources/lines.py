@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,14 +30,19 @@ def _checksum(folder: str, name: str, names: set[str]) -> bool:
         return f.read(4) == b"crc\0"
 
 
+def has_scheme(path: str) -> bool:
+    """Whether a path names its file system: file:/x as well as file:///x; a single letter is no scheme."""
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) is not None
+
+
 def gather(paths: Iterable[str], excluded_endings: Iterable[str] = (), spark: SparkSession | None = None) -> list[str]:
     """Paths to files: a folder gives all below it but Hadoop's checksums of them, a missing path nothing; endings compare without case.
 
-    Paths of other file systems (with ://) are listed by the session; without one they pass through, and Spark lists them.
+    Paths with a scheme (hdfs://host/x, or as Hadoop writes them file:/x) are listed by the session; without one they pass through, and Spark lists them.
     """
     endings, out = tuple(e.lower() for e in excluded_endings), []
     for path in paths:
-        if "://" in path:
+        if has_scheme(path):
             out += _remote(spark, path) if spark else [path]
         elif os.path.isfile(path):
             out.append(path)

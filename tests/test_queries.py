@@ -11,6 +11,13 @@ def test_same_rows_as_sql(spark, name):
     check(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", ["merge_files_skip"])
+def test_same_rows_in_a_folder_as_hadoop_writes_it(spark, tmp_path, monkeypatch, name):
+    """The shared folder's scheme has one slash behind it."""
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file:{tmp_path}")
+    check(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
 @pytest.mark.parametrize("name", ["merge_files_length", "merge_files_skip"])
 def test_same_rows_in_a_local_folder(spark, tmp_path, monkeypatch, name):
     """The shared folder is named without a scheme, as in local mode without a setting."""
