@@ -138,23 +138,37 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in both], pa.list_(pa.float32())), b.column(1)], ["ids", "x", "label"])
 
 
+#: Features of the sample that a step of the fit works on at once, to bound the driver's memory.
+BLOCK = 1 << 17
+
+
 def fit_scorer(ids, x, label, rounds: int = 120, rate: float = 0.5, shrink: float = 1e-6) -> np.ndarray:
-    """Weights of a logistic scorer, the last one its constant; labels are probabilities. AdaGrad over the whole sample."""
-    w, g2 = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-8)
+    """Weights of a logistic scorer, the last one its constant; labels are probabilities. AdaGrad over the whole sample, in blocks of rows."""
+    w = np.zeros(DIMS + 1)
     if not len(label):
         return w
-    rows = np.repeat(np.arange(len(label)), [len(i) for i in ids])
-    cols, vals, y = np.concatenate(ids).astype(np.int64), np.concatenate(x).astype(float), np.asarray(label, float)
-    used = np.unique(cols)
-    cols = np.searchsorted(used, cols)
-    v, s = np.zeros(len(used)), np.full(len(used), 1e-8)
+    n, y = np.array([len(i) for i in ids]), np.asarray(label, float)
+    cols, vals, ends = np.concatenate(ids), np.concatenate(x), np.cumsum(n)
+    seen = np.zeros(DIMS, bool)
+    seen[cols] = True
+    used = np.append(np.flatnonzero(seen), DIMS)
+    cols = (np.cumsum(seen, dtype=np.int32) - 1)[cols]
+    blocks, a = [], 0
+    while a < len(n):  # one row at least
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        blocks.append((a, b, slice(ends[a] - n[a], ends[b - 1])))
+        a = b
+    v, s, d = np.zeros(len(used)), np.full(len(used), 1e-8), np.zeros(len(y))  # the constant is last
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, v[cols] * vals, len(y)) + w[DIMS], -30, 30)))
-        d = p - y
-        g, g0 = np.bincount(cols, d[rows] * vals, len(used)) / len(y) + shrink * v, d.mean()
-        s, g2[DIMS] = s + g * g, g2[DIMS] + g0 * g0
+        g = np.zeros(len(used))
+        for a, b, at in blocks:
+            rows, own, z = np.repeat(np.arange(b - a), n[a:b]), cols[at].astype(np.int64), vals[at].astype(float)
+            d[a:b] = 1 / (1 + np.exp(-np.clip(np.bincount(rows, v[own] * z, b - a) + v[-1], -30, 30))) - y[a:b]
+            g += np.bincount(own, d[a:b][rows] * z, len(used))
+        g = g / len(y) + shrink * v
+        g[-1] = d.mean()
+        s += g * g
         v -= rate * g / np.sqrt(s)
-        w[DIMS] -= rate * g0 / np.sqrt(g2[DIMS])
     w[used] = v
     return w
 
@@ -198,8 +212,9 @@ def rated(docs: DataFrame, score: str, sample_rows: int) -> DataFrame:
     key = F.concat_ws(",", *[F.col(v).cast("string") for v in votes])
     prior = spark.createDataFrame([(",".join(map(str, k)), float(p)) for k, p in label.items()], "pattern string, label double")
     sample = voted(near).withColumn("pattern", key).join(F.broadcast(prior), "pattern").select("text", "label")
-    got = mapped(sample, _sampled, "ids array<int>, x array<float>, label double").toPandas()
-    w = fit_scorer(got["ids"].tolist(), got["x"].tolist(), got["label"].to_numpy())
+    got = mapped(sample, _sampled, "ids array<int>, x array<float>, label double").toArrow()  # flat buffers, no object for each number
+    w = fit_scorer(*(got[c].to_numpy() for c in ("ids", "x", "label")))
+    del got
     shared = spark.sparkContext.broadcast(w.astype(np.float32))
     return mapped(docs.select(*all_of(docs), blank().alias(hidden(docs, "text_"))), _scored(shared, score), StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 

@@ -12,7 +12,7 @@ from linemill.llm.near import similar
 from linemill.llm import packing
 from linemill.llm.bpe import Encoder
 from linemill.llm.packing import Shard, pack_shard
-from linemill.llm.quality import quality
+from linemill.llm.quality import DIMS, fit_scorer, quality
 from linemill.llm.queries import op2_katz_backoff, vocabulary
 from linemill.llm.vectors import neighbours
 from test_models import katz_checked
@@ -61,6 +61,27 @@ def test_quality_with_large_copy_groups(spark):
     assert got[got.quality == 1].keep.mean() > 0.95 and got[got.quality == 0].keep.mean() < 0.6
 
 
+def test_scorer_is_fitted_in_bounded_memory():
+    """The fit of 2,000,000 features takes a few times their own 16 MB, and has the weights of the plain form."""
+    rng = np.random.default_rng(2)
+    ids = [np.sort(rng.choice(5000, 1000, replace=False)).astype(np.int32) for _ in range(2000)]
+    x, y = [rng.random(1000, np.float32) for _ in ids], rng.random(2000)
+    tracemalloc.start()
+    got = fit_scorer(ids, x, y, rounds=5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6
+    a = np.zeros((2000, 5001))
+    for row, i, z in zip(a, ids, x):
+        row[i], row[-1] = z, 1
+    w, s = np.zeros(5001), np.full(5001, 1e-8)
+    for _ in range(5):
+        g = a.T @ (1 / (1 + np.exp(-a @ w)) - y) / 2000 + 1e-6 * np.append(w[:-1], 0)
+        s += g * g
+        w -= 0.5 * g / np.sqrt(s)
+    assert np.abs(got[[*range(5000), DIMS]] - w).max() < 1e-9 and not got[5000:DIMS].any()
+
+
 def test_neighbours_of_small_groups_far_away(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))
