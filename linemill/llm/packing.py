@@ -40,7 +40,22 @@ KEYS, USUAL = 4, 600
 
 def signature(ids: np.ndarray, rarity: np.ndarray) -> list[int]:
     """The weightiest ids of a document; of equal weights the smaller id first."""
-    return _weightiest(*np.unique(ids, return_counts=True), len(ids), rarity)
+    return _weightiest(*distinct(ids), len(ids), rarity)
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with counts, in less time: the stable sort of 16-bit ids is by their digits."""
+    ids = np.sort(ids, kind="stable")
+    if not len(ids):
+        return ids, np.zeros(0, np.int64)
+    new = np.empty(len(ids), bool)
+    new[0] = True
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    n = np.empty_like(at)
+    np.subtract(at[1:], at[:-1], out=n[:-1])
+    n[-1] = len(ids) - at[-1]
+    return ids[at], n
 
 
 def _weightiest(term: np.ndarray, tf: np.ndarray, n: int, rarity: np.ndarray) -> list[int]:
@@ -71,7 +86,7 @@ def _tokenised(path: str, end_id: int, size: int):
             ids, keys = [enc.encode(x) for x in b.column(1).to_pylist()], []
             for x in ids:
                 got = np.frombuffer(x, enc.dtype)
-                term, tf = np.unique(got, return_counts=True)
+                term, tf = distinct(got)
                 keys.append(_weightiest(term, tf, len(got), rarity))
                 had = df[end_id]
                 df[term] += 1

@@ -82,6 +82,16 @@ def test_scorer_is_fitted_in_bounded_memory():
     assert np.abs(got[[*range(5000), DIMS]] - w).max() < 1e-9 and not got[5000:DIMS].any()
 
 
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_distinct_ids_with_counts(kind):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 5000):
+        for top in (1, 7, 50_000):
+            x = rng.integers(0, top, n).astype(kind)
+            for got, want in zip(packing.distinct(x), np.unique(x, return_counts=True)):
+                assert got.tolist() == want.tolist()
+
+
 def test_neighbours_of_small_groups_far_away(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))
