@@ -12,6 +12,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept, only
+
 #: ASCII signs, without the apostrophe that may begin a contraction.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _INNER = re.compile(r"(?<=\S) (?=\S)")
@@ -135,11 +137,12 @@ class Encoder(dict):
             return self.whole(pieces[0]) + b"".join(self[p] if not (p[0].isspace() or p[-1].isspace()) else self.whole(" " + p) for p in pieces[1:])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept({})
 
 
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
+    only(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -93,8 +93,23 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
-#: Lives as long as the worker process.
-HASHES = WordHashes()
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """A cache that lives as long as the worker process, or until only() empties it."""
+    _KEPT.append(cache)
+    return cache
+
+
+def only(*own: dict) -> None:
+    """Empties all kept() caches but these. Workers go from stage to stage, and with the caches of all stages they outgrow their executor."""
+    for cache in _KEPT:
+        if not any(cache is c for c in own):
+            cache.clear()
+
+
+HASHES = kept(WordHashes())
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, all_of, blank, hidden, mapped, mixed, words_of
+from .common import HASHES, all_of, blank, hidden, mapped, mixed, only, words_of
 
 #: Places looked at (1) and ignored (0), in words.
 MASKS = ("111101111", "11011011", "1101011")
@@ -116,6 +116,7 @@ class Index:
 
 def _matched(items, min_words: int, similarity: float):
     def run(batches):
+        only(HASHES)
         index = Index(items.value)
         for b in batches:
             out = []
@@ -144,6 +145,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 1
 
 def _clean(items, min_words: int, similarity: float):
     def run(batches):
+        only(HASHES)
         index = Index(items.value)
         for b in batches:
             ok = [not index.hits(HASHES.of(words_of(t)), min_words, similarity) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]

@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     while (mark := _marked(now)) != before:
         before = mark
         both = now.union(now.select("b", "a"))
-        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = saved(both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", rows=2 * mark[0])
+        large = saved(both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges", rows=mark[0])
         dropped(least)
-        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least", rows=mark[0])
         small = large.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        new = saved(small.filter("a <> b").distinct(), "edges")
+        new = saved(small.filter("a <> b").distinct(), "edges", rows=2 * mark[0])
         dropped(least, large, now)
         now = new
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -57,19 +57,21 @@ def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     behind = Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(-(min_words - 1), 0)
     lines = lines.withColumns({"fwd": F.when(F.col("all") - F.col("before") >= min_words, F.count(F.lit(1)).over(ahead)), "back": F.when(F.col("upto") >= min_words, F.count(F.lit(1)).over(behind))})
     lines = saved(lines.select(*_DOC, "place", "seq", "line", "fwd", "back"), "lines")
-    often = saved(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line", F.monotonically_increasing_id().alias("r")), "often")
-    ranks = [saved(lines.select(*_DOC, "seq", "line").join(often.hint("merge"), "line").select(*_DOC, "seq", "r"), "rank")]
+    n_lines = lines.count()
+    often = saved(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line", F.monotonically_increasing_id().alias("r")), "often", rows=n_lines // 2)
+    ranks = [saved(lines.select(*_DOC, "seq", "line").join(often.hint("merge"), "line").select(*_DOC, "seq", "r"), "rank", rows=n_lines)]
     runs = lines.select(*_DOC, "seq", F.explode(F.array_distinct(F.array(F.struct(F.col("seq").alias("start"), F.col("fwd").alias("n")), F.struct((F.col("seq") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))))).alias("run")).select(*_DOC, "run.start", "run.n").filter("n is not null").distinct()
     runs = saved(runs, "runs")
-    longest = runs.agg(F.max("n")).first()[0] or 0
+    longest, n_runs = runs.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_ranked = ranks[0].count()
     while 2 ** len(ranks) <= longest:
         step = 2 ** (len(ranks) - 1)
         now = ranks[-1]
         pairs = now.join(now.select(*_DOC, (F.col("seq") - step).alias("seq"), F.col("r").alias("r2")), [*_DOC, "seq"])
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs, "pairs", rows=n_ranked)
         order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("r", "r2").repartitionByRange("r", "r2").sortWithinPartitions("r", "r2")
-        order = saved(order.withColumn("rank", F.monotonically_increasing_id()), "order")
-        ranks.append(saved(pairs.join(order.hint("merge"), ["r", "r2"]).select(*_DOC, "seq", F.col("rank").alias("r")), "rank"))
+        order = saved(order.withColumn("rank", F.monotonically_increasing_id()), "order", rows=n_ranked // 2)
+        ranks.append(saved(pairs.join(order.hint("merge"), ["r", "r2"]).select(*_DOC, "seq", F.col("rank").alias("r")), "rank", rows=n_ranked))
         dropped(pairs, order)
     found = None
     for k, rank in enumerate(ranks):
@@ -81,13 +83,13 @@ def later_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         else:
             own = own.withColumn("r2", F.lit(0).cast("long"))
         found = own.select(*_DOC, "start", "n", "r", "r2") if found is None else found.unionByName(own.select(*_DOC, "start", "n", "r", "r2"))
-    found = saved(found, "found")
+    found = saved(found, "found", rows=n_runs)
     dropped(runs, often, *ranks)
     first = found.groupBy("n", "r", "r2").agg(F.min(F.struct(*_DOC, "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    first = saved(first, "first")
+    first = saved(first, "first", rows=n_runs // 2)
     later = found.join(first.hint("merge"), ["n", "r", "r2"]).filter(F.struct(*_DOC, "start") != F.col("first"))
     gone = later.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("seq")).distinct()
-    out = saved(gone.join(lines.select(*_DOC, "seq", "place"), [*_DOC, "seq"]).groupBy(*_DOC).agg(F.collect_list("place").alias("places")), "gone")
+    out = saved(gone.join(lines.select(*_DOC, "seq", "place"), [*_DOC, "seq"]).groupBy(*_DOC).agg(F.collect_list("place").alias("places")), "gone", rows=n_lines)
     dropped(lines, found, first)
     return out
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, all_of, blank, dropped, grams, hidden, mapped, mixed, saved, words_of
+from .common import HASHES, all_of, blank, dropped, grams, hidden, mapped, mixed, only, saved, words_of
 from .graph import components
 
 
@@ -64,6 +64,7 @@ def _node(s: np.ndarray) -> bytes:
 
 def _signed(n: int, bands: int, rows: int):
     def run(batches):
+        only(HASHES)
         signer = Signer(bands, rows)
         known: dict[bytes, np.ndarray] = {}
         for b in batches:
@@ -85,6 +86,7 @@ def _signed(n: int, bands: int, rows: int):
 
 def _sets(n: int):
     def run(batches):
+        only(HASHES)
         for b in batches:
             got = [gram_set(t, n) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], ["node", "grams_of"])
@@ -181,6 +183,7 @@ def _tiles(threshold: float):
         return [(rows[k][1], int(links[k]), rows[head[k]][1]) for k in range(len(rows)) if links[k]]
 
     def run(batches):
+        only()
         key, rows, out = None, [], []
 
         def batch():
@@ -214,13 +217,14 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, rows: int,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(blank()).alias("text_key"), blank().alias("text"))
     signed = saved(mapped(base, _signed(n, bands, rows), "doc_id long, text_key long, node binary, grams long, bands array<bigint>", 500), "signatures")
     nodes = saved(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.max("grams").alias("grams"), F.min("bands").alias("bands")), "nodes")
+    n_nodes = nodes.count()
     in_bands = nodes.select(F.explode("bands").alias("band"), "node")
     heads = in_bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("band", "head")
     links = in_bands.join(heads, "band").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    groups = saved(components(links).join(nodes.drop("bands", "low"), "node"), "groups")
+    groups = saved(components(links).join(nodes.drop("bands", "low"), "node"), "groups", rows=n_nodes)
     # what is grouped by a key and then joined by it is a table first: Spark can split a join of two exchanges where a key is frequent
-    size = saved(groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_nodes)).cast("int").alias("blocks")), "sizes")
-    wanted = saved(groups.select("text_key").distinct(), "wanted").select("text_key", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    size = saved(groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_nodes)).cast("int").alias("blocks")), "sizes", rows=n_nodes)
+    wanted = saved(groups.select("text_key").distinct(), "wanted", rows=n_nodes).select("text_key", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
     texts = base.select("text_key", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot"), "text").join(wanted.hint("merge"), ["text_key", "slot"], "left_semi")
     texts = texts.dropDuplicates(["text_key", "slot"]).dropDuplicates(["text_key"]).select("text")
     sets = mapped(texts, _sets(n), "node binary, grams_of binary", 500).dropDuplicates(["node"])
@@ -232,9 +236,9 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, rows: int,
     dropped(size, groups)
     classes = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    info = saved(nodes.drop("bands", "text_key", "grams").join(counted, "node", "left").join(classes, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low", F.coalesce("root", "node").alias("root")), "classes")
+    info = saved(nodes.drop("bands", "text_key", "grams").join(counted, "node", "left").join(classes, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low", F.coalesce("root", "node").alias("root")), "classes", rows=n_nodes)
     dropped(nodes, found)
-    lows = saved(info.groupBy("root").agg(F.min("low").alias("class_id")), "lows")
+    lows = saved(info.groupBy("root").agg(F.min("low").alias("class_id")), "lows", rows=n_nodes)
     info = info.drop("low").join(lows.hint("merge"), "root").select("node", "n_links", "root", "class_id")
     return signed.drop("bands", "grams").join(info.hint("merge"), "node", "left").select("doc_id", "text_key", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -255,11 +259,12 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     """
     found = _linked(docs, n, threshold, recall, rows, block_grams, block_nodes).filter("n_links > 0").select("root", F.struct("doc_id", "text_key").alias("at"))
     found = saved(found.groupBy("root", "at").agg(F.count(F.lit(1)).alias("rows")), "members")
-    least = saved(found.groupBy("root").agg(F.min("at").alias("stay")), "least")
+    n_members = found.count()
+    least = saved(found.groupBy("root").agg(F.min("at").alias("stay")), "least", rows=n_members)
     gone = found.join(least.hint("merge"), "root").select("at", (F.col("at") == F.col("stay")).alias("stays"), "rows").filter(~F.col("stays") | (F.col("rows") > 1))
     k1, k2 = hidden(docs, "k1"), hidden(docs, "k2")
     id_ = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    gone = saved(gone.select(id_(F.col("at.doc_id")).alias(k1), F.col("at.text_key").alias(k2), "stays"), "gone")
+    gone = saved(gone.select(id_(F.col("at.doc_id")).alias(k1), F.col("at.text_key").alias(k2), "stays"), "gone", rows=n_members)
     keyed = docs.withColumns({k1: id_(F.col("doc_id").cast("long")), k2: F.xxhash64(blank())})
     kept = keyed.join(gone.hint("merge"), [k1, k2], "left_anti")
     repeated = gone.filter("stays")

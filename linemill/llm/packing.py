@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import blank, mapped, saved, shuffle_parts
+from .common import blank, mapped, only, saved, shuffle_parts
 
 K1, B = 1.2, 0.75
 CHUNK = 1 << 20
@@ -218,6 +218,7 @@ def _packed(dtype: str, shared, window: int, shard_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
+        only()
         idf, mean = shared.value
         seq_id = TaskContext.get().partitionId() << 32
         names, docs, held = [], [], 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import all_of, blank, hidden, mapped
+from .common import all_of, blank, hidden, kept, mapped, only
 
 DIMS = 1 << 18
 #: Frequent function words of the four languages (fixed values).
@@ -119,7 +119,7 @@ class _Features(dict):
         return got
 
 
-_FEATURES = _Features()
+_FEATURES = kept(_Features())
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(batches):
+    only(_FEATURES)
     for b in batches:
         both = [features(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in both], pa.list_(pa.float32())), b.column(1)], ["ids", "x", "label"])
@@ -175,6 +176,7 @@ def fit_scorer(ids, x, label, rounds: int = 120, rate: float = 0.5, shrink: floa
 
 def _scored(shared, name: str):
     def run(batches):
+        only(_FEATURES)
         w = shared.value
         for b in batches:
             out = []
