@@ -15,7 +15,7 @@ from .operators.shards import chunk_plan, shard_histogram
 from .plans.analyse import write_reports
 from .plans.merge import MergeOptions, merge_stats, run_merge
 from .sources.lines import column_lines, union_lines
-from .sources.sinks import write_text
+from .sources.sinks import write_groups, write_text
 from .storage import table_path
 
 
@@ -270,10 +270,12 @@ def merge_files_stats(spark, sf_dir):
 def _analysed(spark, sf_dir):
     """Reports of one file for each language, read back: file (its language) and the report's lines."""
     folder = table_path(spark, "texts")
-    _lines(spark, sf_dir, "lang").filter("lang is not null").select("lang", F.col("line").cast("string").alias("value")).repartition("lang").write.partitionBy("lang").text(folder)
+    name = F.concat(F.lit("x"), F.hex(F.encode("lang", "UTF-8")))  # any text, an empty one too, as a file name
+    write_groups(_lines(spark, sf_dir, "lang").filter("lang is not null").select(name.alias("lang"), "line"), "lang", folder)
     write_reports(spark, [re.sub("^file:/+", "/", folder)] if folder.startswith("file:") or "://" not in folder else [folder])
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.Analysis.txt").text(folder)
-    return found.select(F.regexp_extract(F.col("_metadata.file_path"), "lang=([^/]+)/", 1).alias("lang"), "value")
+    lang = F.regexp_extract(F.col("_metadata.file_path"), r"/lang=x([0-9A-F]*)\.Analysis\.txt$", 1)
+    return found.select(F.decode(F.unhex(lang), "UTF-8").alias("lang"), "value")
 
 
 def analyse_files(spark, sf_dir):

@@ -66,6 +66,25 @@ def _without_checksum(spark: SparkSession, path: str) -> None:
     delete(spark, path.rpartition("/")[0] + "/." + path.rpartition("/")[2] + ".crc")
 
 
+def write_groups(lines: DataFrame, by: str, folder: str) -> None:
+    """One file for each value of a column, <folder>/<column>=<value>.txt, of the lines in any order. Values are text that file names can have.
+
+    The tasks write the lines where they are, so a frequent value is no task of its own; its parts become one file as in write_file.
+    """
+    spark, parts = lines.sparkSession, f"{folder}.parts-{uuid.uuid4().hex}"
+    try:
+        lines.select(by, F.col("line").cast("string").alias("value")).write.partitionBy(by).text(parts)
+        fs, root = _fs(spark, parts)
+        fs.mkdirs(_fs(spark, folder)[1])  # without lines, the folder is empty
+        for group in sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()):
+            found = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(_fs(spark, f"{parts}/{group}")[1]))
+            path = f"{folder}/{group}.txt"
+            _joined(spark, fs, _fs(spark, path)[1], [p for name, p in found if name.startswith("part-")])
+            _without_checksum(spark, path)
+    finally:
+        delete(spark, parts)
+
+
 def write_file(lines: DataFrame, path: str, order: str = "dictionary", copies: str | None = None) -> bool:
     """One ordered file. What was there goes first; without lines there is no file, and False.
 
