@@ -41,32 +41,40 @@ def in_blocks(lines: DataFrame, copies: str) -> DataFrame:
 def ranked(lines: DataFrame, order: str = "dictionary") -> DataFrame:
     """Adds rank, 1 for the first line of the order; equal lines have consecutive ranks, in any order. No window holds all rows.
 
-    Equal rows travel as one with their number. Distinct lines are range-partitioned once, into a table, so that places within a partition
-    and the numbers of rows before it (one for each partition) come from the same ranges. A line's rows with other columns share
-    its ranks by slots of a hash of these, so a line of any number of rows is no task of its own; copies are spread in blocks.
+    Lines are range-partitioned once, into a table, so that places within a partition and the numbers of rows before it (one for each partition) come
+    from the same ranges. Without other columns, equal rows travel as one with their number, and copies are spread in blocks.
     """
-    spark = lines.sparkSession
-    parts, slots = int(spark.conf.get("spark.sql.shuffle.partitions")), 64
-    keys, names = order_keys(order), {c: f"_c{i}" for i, c in enumerate(c for c in lines.columns if c != "line")}
-    others = list(names.values())
-    rows = lines.select("line", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]).groupBy("line", *others).agg(F.count(F.lit(1)).alias("_n"))
-    if others:
-        rows = saved(rows.withColumn("_slot", F.pmod(F.xxhash64(*others), F.lit(slots))), "rows")
-        shares = rows.groupBy("line", "_slot").agg(F.sum("_n").alias("_n"))
-    distinct = shares.groupBy("line").agg(F.sum("_n").alias("_n")) if others else rows
+    if lines.columns != ["line"]:
+        return _ranked_rows(lines, order)
+    parts, keys = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), order_keys(order)
+    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("_n"))
     placed = saved(distinct.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").agg(F.sum("_n").alias("_all")).select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumn("_first", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(starts), "_part").withColumn("_first", F.col("_first") + F.col("_start")).select("line", "_n", "_first")
-    if others:
-        slot = Window.partitionBy("line").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        shares = shares.withColumn("_skip", F.coalesce(F.sum("_n").over(slot), F.lit(0))).join(out.drop("_n"), "line").select("line", "_slot", (F.col("_first") + F.col("_skip")).alias("_first"))
-        own = Window.partitionBy("line", "_slot").orderBy(*others).rowsBetween(Window.unboundedPreceding, -1)
-        out = rows.withColumn("_skip", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(shares, ["line", "_slot"]).withColumn("_first", F.col("_first") + F.col("_skip"))
+    out = placed.withColumn("_first", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(_starts(placed, "_n"), "_part").select("line", "_n", (F.col("_first") + F.col("_start")).alias("_first"))
     many = in_blocks(out.filter(F.col("_n") > COPIES), "_n").withColumn("_first", F.col("_first") + F.col("_block") * COPIES).drop("_block").repartition(parts, "line", "_first")
     out = out.filter(F.col("_n") <= COPIES).unionByName(many.select(*out.columns))
-    out = out.select("line", *others, F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_n"))).alias("rank"))
+    return out.select("line", F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_n"))).alias("rank"))
+
+
+def _starts(placed: DataFrame, n: str | Column) -> DataFrame:
+    """`_start` for each `_part`: how many rows the partitions before it have; one row for each partition, for a broadcast."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.sum(n).alias("_all"))
+    return F.broadcast(sizes.select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start")))
+
+
+def _ranked_rows(lines: DataFrame, order: str) -> DataFrame:
+    """ranked() of lines with other columns. Every row goes through one exchange, with the other columns and its number in the input as last keys, so equal lines
+    and equal rows can be in many ranges; a row's place in its range is its number there, which needs no window. Only equal rows are dealt by
+    their number, so only for these does a task that is run again have to get its input in the same order, as it does from files.
+    """
+    parts, keys = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), order_keys(order)
+    names = {c: f"_c{i}" for i, c in enumerate(c for c in lines.columns if c != "line")}
+    rows = lines.select("line", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_row", F.monotonically_increasing_id())
+    ranges = rows.repartitionByRange(parts, *keys, *names.values(), "_row").sortWithinPartitions(*keys).drop("_row")
+    at = F.col("_at")  # the partition's number, above 33 bits of a row's number in it
+    placed = saved(ranges.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright(at, 33))
+    out = placed.join(_starts(placed, F.lit(1)), "_part").withColumn("rank", F.col("_start") + at.bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     return out.select(*[F.col("line" if c == "line" else names[c]).alias(c) for c in lines.columns], "rank")
 
 

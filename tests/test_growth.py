@@ -6,8 +6,9 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from linemill import queries
+from linemill.operators import ordering
 
-SF = "/root/testdata/sf0.001"
+SF, SF1 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture
@@ -55,3 +56,23 @@ def test_a_language_is_no_task_of_its_own(spark, tmp_path, exchanged):
 def test_no_lines_to_analyse(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.analyse_files(spark, str(tmp_path)).count() == 0
+
+
+def test_ranks_of_rows_move_each_row_twice(spark, exchanged):
+    """Into ranges and to the sums by line, besides the table of ranges and one row for each distinct line."""
+    size = spark.read.parquet(f"{SF1}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    stages = exchanged(lambda: _same_as_sql(queries.ranked_with_source(spark, SF1), "ranked_with_source", documents=f"{SF1}/documents.parquet"))
+    assert sum(written for _, written in stages) < 4 * size
+
+
+def test_ranks_of_equal_rows(spark, monkeypatch):
+    """Rows that are equal in all columns are in several tasks, and have ranks of their own."""
+    rows = spark.range(400_000).select(F.encode(F.when(F.col("id") % 100 == 0, F.lit("a")).otherwise(F.lit("m")), "UTF-8").alias("line"), F.lit(7).alias("doc_id"))
+    tables, saved = [], ordering.saved
+    monkeypatch.setattr(ordering, "saved", lambda df, *how: tables.append(saved(df, *how)) or tables[-1])
+    out = ordering.ranked(rows)
+    n = out.groupBy("line").agg(F.min("rank"), F.max("rank"), F.count_distinct("rank"), F.sum("doc_id")).orderBy("line").collect()
+    assert [tuple(r[1:]) for r in n] == [(1, 4_000, 4_000, 28_000), (4_001, 400_000, 396_000, 2_772_000)]
+    (placed,) = tables
+    parts = placed.groupBy(F.shiftright("_at", 33)).count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 200_000
