@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,11 +81,53 @@ def _ranked_rows(lines: DataFrame, order: str) -> DataFrame:
 
 
 def is_sorted(lines: DataFrame, position: str, order: str = "dictionary") -> DataFrame:
-    """One row, `is_sorted`: whether lines ascend with the column `position`. By range partitions of the position."""
-    keys = F.struct(*order_keys(order))
+    """One row, `is_sorted`: whether lines ascend with the column `position`. By range partitions of the position, each folded where it is."""
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = lines.select(F.col(position).alias("_at"), keys.alias("_key")).repartitionByRange(parts, "_at").sortWithinPartitions("_at").withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy("_at")
-    inner = placed.withColumn("_last", F.lag("_key").over(within)).groupBy("_part").agg(F.coalesce(F.min(F.col("_last") <= F.col("_key")), F.lit(True)).alias("ok"), F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"))
-    edges = inner.withColumn("before", F.last("last", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = lines.select(F.col(position).alias("_at"), "line").repartitionByRange(parts, "_at").sortWithinPartitions("_at")
+    return _runs_ascend(placed.select(F.spark_partition_id().cast("long").alias("run"), "line"), order)
+
+
+def runs_sorted(lines: DataFrame, run: str, order: str = "dictionary") -> DataFrame:
+    """is_sorted() of lines that come in order already, as a file's do: rows of one value of `run`, a long, follow each other in one task, and runs are in the order of its values. Exchanges one row for each run."""
+    return _runs_ascend(lines.select(F.col(run).alias("run"), "line"), order)
+
+
+def _runs_ascend(rows: DataFrame, order: str) -> DataFrame:
+    """Rows (run, line) -> one row: whether lines ascend within each run and from one to the next. A task holds a batch and the line before it; a null is before all lines."""
+    by_length = len(order_keys(order)) > 1
+
+    def ascend(a: pa.Array, b: pa.Array) -> pa.Array:
+        up = pc.less_equal(a, b)
+        if by_length:
+            m, n = pc.binary_length(a), pc.binary_length(b)
+            up = pc.or_(pc.less(m, n), pc.and_(pc.equal(m, n), up))
+        return pc.or_(pc.is_null(a), pc.fill_null(up, False))
+
+    def fold(batches):
+        run = first = last = None
+        ok = True
+        for b in batches:
+            runs, lines = b.column(0), b.column(1)
+            ends = [*(i + 1 for i in pc.indices_nonzero(pc.not_equal(runs[1:], runs[:-1])).to_pylist()), len(runs)] if len(runs) else []
+            at = 0
+            for end in ends:
+                own = lines[at:end]
+                if runs[at].as_py() != run:
+                    if run is not None:
+                        yield run, ok, first, last
+                    run, ok, first = runs[at].as_py(), True, own[0].as_py()
+                else:
+                    ok = ok and ascend(pa.array([last], own.type), own[:1])[0].as_py()
+                ok = ok and pc.all(ascend(own[:-1], own[1:])).as_py() is not False
+                last, at = own[-1].as_py(), end
+        if run is not None:
+            yield run, ok, first, last
+
+    def folded(batches):
+        for found in fold(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(found, (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], ["run", "ok", "first", "last"])
+
+    key = lambda c: F.struct(*([F.octet_length(c)] if by_length else []), F.col(c))
+    inner = rows.mapInArrow(folded, "run long, ok boolean, first binary, last binary").select("run", "ok", key("first").alias("first"), key("last").alias("last"))
+    edges = inner.withColumn("before", F.lag("last").over(Window.orderBy("run")))
     return edges.agg(F.coalesce(F.min(F.col("ok") & F.coalesce(F.col("before") <= F.col("first"), F.lit(True))), F.lit(True)).alias("is_sorted"))

@@ -76,3 +76,32 @@ def test_ranks_of_equal_rows(spark, monkeypatch):
     (placed,) = tables
     parts = placed.groupBy(F.shiftright("_at", 33)).count().collect()
     assert len(parts) > 2 and max(r["count"] for r in parts) < 200_000
+
+
+def test_a_merged_file_is_checked_where_it_is_read(spark, exchanged):
+    """The order of a written file is no exchange of its lines."""
+    size = spark.read.parquet(f"{SF1}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    stages = exchanged(lambda: _same_as_sql(queries.merge_files_leave(spark, SF1), "merge_files_leave", documents=f"{SF1}/documents.parquet"))
+    assert sum(written for _, written in stages) < 4.8 * size
+
+
+@pytest.mark.parametrize("order", ["dictionary", "length"])
+def test_order_of_lines(spark, tmp_path, order):
+    """In one batch and several, in one range and several, by position and by the order of a file, with one pair the wrong way round at each place."""
+    key = (lambda x: (len(x), x)) if order == "length" else (lambda x: x)
+    lines = sorted([b"", b"a", b"a", b"\x7f", b"\xff", b"aa", b"ab", b"a\x00", b"\xc3\xa9"], key=key)
+    cases = {True: [lines, [b"x"], [b"x", b"x"]], False: [[*lines[:i], lines[i + 1], lines[i], *lines[i + 2 :]] for i in range(len(lines) - 1) if lines[i] != lines[i + 1]]}
+    for batch in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            for want, some in cases.items():
+                for case in some:
+                    df = spark.createDataFrame([(i, i // 4, bytearray(x)) for i, x in enumerate(case)], "at long, run long, line binary").coalesce(1)
+                    assert ordering.is_sorted(df, "at", order).first()[0] is want
+                    assert ordering.runs_sorted(df, "run", order).first()[0] is want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ordering.is_sorted(df.limit(0), "at", order).first()[0] is True
+    nulls = spark.createDataFrame([(0, None), (1, None), (2, bytearray(b"a")), (3, bytearray(b"b"))], "at long, line binary")
+    assert ordering.is_sorted(nulls, "at", order).first()[0] is True
+    assert ordering.is_sorted(nulls.select((-F.col("at")).alias("at"), "line"), "at", order).first()[0] is False
