@@ -81,6 +81,7 @@ def write_groups(lines: DataFrame, by: str, folder: str) -> None:
             path = f"{folder}/{group}.txt"
             _joined(spark, fs, _fs(spark, path)[1], [p for name, p in found if name.startswith("part-")])
             _without_checksum(spark, path)
+            delete(spark, f"{parts}/{group}")
     finally:
         delete(spark, parts)
 
