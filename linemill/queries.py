@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.bytes import shard_key
 from .operators import profile
 from .operators.clean import Cleaning, clean
-from .operators.ordering import COPIES, duplicates, is_sorted, ranked, runs_sorted
+from .operators.ordering import duplicates, is_sorted, ranked, runs_sorted
 from .operators.shards import chunk_plan, shard_histogram
 from .plans.analyse import write_reports
 from .plans.merge import MergeOptions, merge_stats, run_merge
@@ -203,8 +203,8 @@ def name_lines(spark, sf_dir):
 
 def ranked_with_source(spark, sf_dir):
     """Ranks of all lines with their documents: for each line its first and last rank, how many it has, and the sum of its documents' ids."""
-    out = ranked(_lines(spark, sf_dir, "doc_id")).withColumn("block", F.expr(f"rank div {COPIES}"))
-    # a line's ranks are brought together in blocks, once: a count of distinct ones over the line would move every row a second time
+    out = ranked(_lines(spark, sf_dir, "doc_id")).withColumn("block", F.expr("rank div 1024"))
+    # a line's ranks are brought together in small blocks, once: a count of distinct ones over the line would move every row a second time
     once = out.repartition("line", "block").groupBy("line", "block", "rank").agg(F.sum("doc_id").alias("ids"))
     blocks = once.groupBy("line", "block").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("rank").alias("ranks"), F.sum("ids").alias("ids"))
     return _text(blocks.groupBy("line").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("ranks").alias("ranks"), F.sum("ids").alias("ids")))
